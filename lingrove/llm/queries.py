@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, quality, simhash
+from . import fingerprints, mixing, quality, simhash, suffix_tree
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +25,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(_documents(spark, sf_dir))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op6_mix_sources, op7_simhash_near_dedup, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op3_quality_classifier, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
