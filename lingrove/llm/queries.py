@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, quality, simhash, suffix_tree
+from . import bpe, fingerprints, mixing, quality, simhash, suffix_tree
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_documents(spark, sf_dir))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -34,7 +38,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op2_bpe_encoding, op3_quality_classifier, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
