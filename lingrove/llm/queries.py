@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, quality, simhash, suffix_tree
+from . import bpe, fingerprints, mixing, quality, simhash, suffix_tree, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.prefix_table(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encoding, op3_quality_classifier, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints)}
+    return {f.__name__: f for f in (op2_bpe_encoding, op3_quality_classifier, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
