@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, quality, simhash, suffix_tree, token_counts
+from . import bpe, fingerprints, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -42,8 +46,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encoding, op3_quality_classifier, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op2_bpe_encoding, op3_quality_classifier, op5_substring_dedup, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.ORACLE}
+    return {"op5_substring_dedup": substring_dedup.ORACLE, "op6_mix_sources": mixing.ORACLE}
