@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts
+from . import bpe, fingerprints, line_dedup, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_documents(spark, sf_dir))
+
+
 def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir))
 
@@ -46,8 +50,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encoding, op3_quality_classifier, op5_substring_dedup, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bpe_encoding, op3_quality_classifier, op5_substring_dedup, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": substring_dedup.ORACLE, "op6_mix_sources": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op6_mix_sources": mixing.ORACLE}
