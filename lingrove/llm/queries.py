@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, line_dedup, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts
+from . import bpe, embedding_dedup, fingerprints, line_dedup, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_bpe_encoding, op3_quality_classifier, op5_substring_dedup, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bpe_encoding, op3_quality_classifier, op4_embedding_near_dedup, op5_substring_dedup, op6_mix_sources, op7_simhash_near_dedup, op8_lm_scoring, op9_document_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
