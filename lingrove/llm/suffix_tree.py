@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, chunks, text_buffers, written
@@ -79,28 +79,25 @@ def _count(depth: int):
 
 
 def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, n): occurrences of every run of depth+1 bytes in the whole corpus, by what the tasks have counted."""
-    return docs.select("text").where("text is not null").mapInArrow(_count(depth), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    """(c, x, n): occurrences of every byte x after every context c of ``depth`` bytes in the whole corpus; partitioned by context."""
+    found = docs.select("text").where("text is not null").mapInArrow(_count(depth), "key bigint, n bigint")
+    # each task has added up its own counts already, so they are shuffled as they are
+    return found.select(F.shiftright("key", 8).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("x"), "n").repartition("c").groupBy("c", "x").agg(F.sum("n").alias("n"))
 
 
 def tree(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE) -> DataFrame:
-    """(depth, context, byte, n) of the retained contexts, from the counts of the longest runs."""
-    spark = grams.sparkSession
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels, level = [], grams
-    # every shorter context's counts are sums over the longer ones; a context is kept as a candidate while its count reaches the share
+    """(depth, c, x, n) of the retained contexts, from the counts of the longest ones."""
+    level = written(grams)
+    total = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    levels = []
+    # a shorter context's counts are sums over the longer ones; partitioned by context, its counts and their sum need one shuffle
     for k in range(depth, -1, -1):
-        mask = (1 << (8 * (k + 1))) - 1
-        level = level.select(F.col("key").bitwiseAND(F.lit(mask)).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")) if k < depth else level
-        ctx = F.shiftright("key", 8)
-        if k:
-            big = level.groupBy(ctx.alias("c")).agg(F.sum("n").alias("cn")).where(F.col("cn") >= max(1.0, min_share * total))
-            at = level.withColumn("c", ctx).join(big, "c")
-        else:
-            at = level.withColumn("c", F.lit(0).cast("bigint")).withColumn("cn", F.lit(total).cast("bigint"))
-        at = at.select(F.lit(k).alias("depth"), "c", F.col("key").bitwiseAND(F.lit(255)).alias("x"), "n", "cn")
-        levels.append(at)
-        level = written(level) if k == depth else level
+        if k < depth:
+            mask = (1 << (8 * k)) - 1
+            shorter = level.select(F.col("c").bitwiseAND(F.lit(mask)).alias("c"), "x", "n")
+            level = shorter.groupBy("c", "x").agg(F.sum("n").alias("n")) if k == 0 else written(shorter.repartition("c").groupBy("c", "x").agg(F.sum("n").alias("n")))
+        at = level.withColumn("cn", F.sum("n").over(Window.partitionBy("c")))
+        levels.append(at.where(F.col("cn") >= (max(1.0, min_share * total) if k else 0)).select(F.lit(k).alias("depth"), "c", "x", "n", "cn"))
     every = levels[0]
     for at in levels[1:]:
         every = every.unionByName(at)
@@ -193,6 +190,6 @@ def scores(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, di
     Null text: all null. Empty text: 0 bytes, 0, null. Repeated rows count, and are scored, each time; null ids too. Further columns aren't
     read. Empty table: no rows.
     """
-    nodes = tree(written(counts(docs, depth)), depth, min_share, divergence).toArrow().to_pandas()
+    nodes = tree(counts(docs, depth), depth, min_share, divergence).toArrow().to_pandas()
     f = F.arrow_udf(_scorer(model_of(nodes, depth, smooth), depth), "n_bytes bigint, log2_prob double, bits_per_byte double")
     return docs.select("doc_id", f(F.col("text")).alias("s")).select("doc_id", "s.*")
