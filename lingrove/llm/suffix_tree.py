@@ -87,17 +87,17 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def tree(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE) -> DataFrame:
     """(depth, c, x, n) of the retained contexts, from the counts of the longest ones."""
-    level = written(grams)
+    total_of = F.sum("n").over(Window.partitionBy("c"))
+    level = written(grams.withColumn("cn", total_of))
     total = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     levels = []
-    # a shorter context's counts are sums over the longer ones; partitioned by context, its counts and their sum need one shuffle
+    # a shorter context's counts are sums over the longer ones; partitioned by context, its counts and their sum take one shuffle
     for k in range(depth, -1, -1):
         if k < depth:
-            mask = (1 << (8 * k)) - 1
-            shorter = level.select(F.col("c").bitwiseAND(F.lit(mask)).alias("c"), "x", "n")
-            level = shorter.groupBy("c", "x").agg(F.sum("n").alias("n")) if k == 0 else written(shorter.repartition("c").groupBy("c", "x").agg(F.sum("n").alias("n")))
-        at = level.withColumn("cn", F.sum("n").over(Window.partitionBy("c")))
-        levels.append(at.where(F.col("cn") >= (max(1.0, min_share * total) if k else 0)).select(F.lit(k).alias("depth"), "c", "x", "n", "cn"))
+            shorter = level.select(F.col("c").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("c"), "x", "n")
+            shorter = shorter.groupBy("c", "x").agg(F.sum("n").alias("n")) if k == 0 else shorter.repartition("c").groupBy("c", "x").agg(F.sum("n").alias("n"))
+            level = written(shorter.withColumn("cn", total_of))
+        levels.append(level.where(F.col("cn") >= (max(1.0, min_share * total) if k else 0)).select(F.lit(k).alias("depth"), "c", "x", "n", "cn"))
     every = levels[0]
     for at in levels[1:]:
         every = every.unionByName(at)
