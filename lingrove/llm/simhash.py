@@ -33,6 +33,7 @@ RECALL = 0.9
 STRIP, STRIP_WEIGHT = 16, 1  # the first level: a filter passes 17 of 65,536
 NEXT, NEXT_WEIGHT = 8, 1  # below it: 9 of 256
 SMALL = 2048
+ROW_BITS = 22  # a chunk has fewer rows than 2^22, as it has about CHUNK bytes
 
 # ---- fingerprints ----------------------------------------------------------
 
@@ -48,11 +49,11 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     pair = np.flatnonzero(row[1:] == row[:-1])
     both = np.concatenate([w, mix(w[pair] * U(0x9FB21C651E98DF25) + w[pair + 1])])
     rows = np.concatenate([row, row[pair]])
-    bits = max(1, int(len(offs)).bit_length())
-    key = np.sort((rows.astype(U) << U(64 - bits)) | (both >> U(bits)))
+    # the same bits of a hash whatever the number of rows, so that equal texts get equal features in any batch
+    key = np.sort((rows.astype(U) << U(64 - ROW_BITS)) | (both >> U(ROW_BITS)))
     if len(key):
         key = key[np.r_[True, key[1:] != key[:-1]]]
-    return (key >> U(64 - bits)).astype(np.int64), mix(key << U(bits))
+    return (key >> U(64 - ROW_BITS)).astype(np.int64), mix(key << U(ROW_BITS))
 
 
 def simhash(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
