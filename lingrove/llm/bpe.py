@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, chunks, text_buffers
+from .common import chunks, text_buffers
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -196,7 +196,7 @@ def _encoder(path: str):
         v = vocabulary(path)
         data, offs, null = text_buffers(col)
         ids, at, same = [], [np.zeros(1, np.int64)], []
-        for a, b in chunks(offs, 8 * CHUNK):
+        for a, b in chunks(offs):
             got, o = encode_batch(col.slice(a, b - a).to_pylist(), v)
             ids.append(got)
             at.append(o[1:] + at[-1][-1])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _POW = np.ones(1, U)
