@@ -45,7 +45,7 @@ def _keys(data: np.ndarray, offs: np.ndarray, depth: int) -> np.ndarray:
     """For each byte the depth+1 bytes that end with it, packed; bytes before the text are 0."""
     key = data.astype(np.int64)
     pos = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
-    for k in range(1, depth + 1):
+    for k in range(1, min(depth, len(data) - 1) + 1):
         key[k:] |= np.where(pos[k:] >= k, data[: len(data) - k], 0).astype(np.int64) << (8 * k)
     return key
 
