@@ -27,6 +27,8 @@ def register(spark: SparkSession, model: DataFrame, name: str = "identify", o: I
     stop = o.stop_penalty if o.stop_grams else 0.0
 
     def run(col: pa.Array) -> pa.Array:
+        if pa.types.is_null(col.type):
+            return pa.nulls(len(col), pa.struct([("lang", pa.string()), ("score", pa.float64())]))
         data, offs = grams.buffers(col)
         n = len(col)
         total = np.zeros((n, max(1, tables.langs)))
