@@ -99,25 +99,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---- filters ---------------------------------------------------------------
 
 
-def joint(strip: int, weight: int, share: float) -> tuple[float, float]:
-    """(P a filter passes one, P it passes the second, given the first), for a pair that differs in ``share`` of its coordinates."""
-    q = sum(math.comb(strip, w) for w in range(weight + 1)) / 2.0**strip
-    both = 0.0
-    for w in range(weight + 1):
-        p_w = math.comb(strip, w) / 2.0**strip
-        for down in range(w + 1):
-            p_down = math.comb(w, down) * share**down * (1 - share) ** (w - down)
-            for up in range(min(strip - w, weight - w + down) + 1):
-                both += p_w * p_down * math.comb(strip - w, up) * share**up * (1 - share) ** (strip - w - up)
-    return q, both / q
-
-
-def rounds(strip: int, weight: int, share: float, recall: float) -> int:
-    """Rounds of one expected pass each, until a pair passes some filter together with probability ``recall``.
-
-    The centres within reach of both of a pair are a Poisson number with mean joint(...)[1].
+def hit(strip: int, weight: int, max_bits: int) -> float:
+    """P(a round puts a pair at ``max_bits`` into one list).
+
+    All coordinates of a round come from one strip, so it is the mean over the pair's distance there: a centre within
+    reach of both is drawn with probability 1 / ball, and how many there are depends on that distance.
+    """
+    ball = sum(math.comb(strip, w) for w in range(weight + 1))
+    total = 0.0
+    for k in range(min(strip, max_bits) + 1):
+        at_k = math.comb(max_bits, k) * math.comb(BITS - max_bits, strip - k) / math.comb(BITS, strip)
+        shared = sum(math.comb(k, i) * math.comb(strip - k, j) for i in range(k + 1) for j in range(strip - k + 1) if max(i, k - i) + j <= weight)
+        total += at_k * (1 - (1 - 1 / ball) ** shared)
+    return total
+
+
+def rounds(strip: int, weight: int, max_bits: int, recall: float, below: float) -> int:
+    """Rounds until a pair at ``max_bits`` is found with probability ``recall``, when its list is searched with probability ``below`` of finding it.
+
+    Each round that puts the pair into one list is a try of its own, so a pair is missed with (1 - hit * below) ^ rounds. With
+    ``below`` = ``recall`` the bound holds for lists of any depth.
     """
-    return math.ceil(-math.log(1 - recall) / joint(strip, weight, share)[1])
+    return math.ceil(math.log(1 - recall) / math.log1p(-hit(strip, weight, max_bits) * below))
 
 
 def _strip_values(bits: np.ndarray, coords: np.ndarray) -> np.ndarray:
@@ -159,7 +162,7 @@ def search_list(fp: np.ndarray, max_bits: int, recall: float, rng: np.random.Gen
         return _near(fp, max_bits)
     bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(len(fp), 32), axis=1)
     left, right = [], []
-    for _ in range(rounds(NEXT, NEXT_WEIGHT, max_bits / BITS, recall)):
+    for _ in range(rounds(NEXT, NEXT_WEIGHT, max_bits, recall, recall)):
         v = _strip_values(bits, rng.choice(BITS, NEXT, replace=False))
         hit, centre = map(np.concatenate, zip(*_passes(v, NEXT, NEXT_WEIGHT, rng), strict=True))
         order = np.argsort(centre, kind="stable")
@@ -236,8 +239,8 @@ def _search(max_bits: int, recall: float, seed: int):
 
 def near_edges(fps: DataFrame, max_bits: int = MAX_BITS, recall: float = RECALL, seed: int = 7) -> DataFrame:
     """(a, b): edges that connect near fingerprints; fps: (id, f0..f3), each fingerprint once."""
-    n = rounds(STRIP, STRIP_WEIGHT, max_bits / BITS, recall)
-    # the recursion's own misses come on top: each level that a list of this size would need gets its share
+    # the recursion misses some pairs too, so a shared list counts as found with probability ``recall``
+    n = rounds(STRIP, STRIP_WEIGHT, max_bits, recall, recall)
     lists = fps.mapInArrow(_emit(n, seed), "list bigint, id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
     return lists.repartition("list").sortWithinPartitions("list").mapInArrow(_search(max_bits, recall, seed), "a bigint, b bigint")
 
