@@ -1,14 +1,14 @@
 """LM scoring: probabilistic suffix tree (operator 8).
 
 Symbols are UTF-8 bytes. Counts of every context of up to ``DEPTH`` bytes and the byte after it are gathered from all
-documents (the start of a text counts as context too, as byte 0). A context is retained when it makes up at least ``min_share`` of all
-positions and its next-byte distribution diverges from its parent's (the context without its first byte):
-count * KL(context || parent) >= ``divergence``. The ancestors of a retained context are retained with it. A retained context's
+documents (the start of a text counts as context too, as byte 0). A context is retained when its next-byte distribution diverges from its
+parent's (the context without its first byte): count * KL(context || parent) >= ``divergence``; a ``min_share`` above 0 asks besides
+that it makes up that share of all positions. The ancestors of a retained context are retained with it. A retained context's
 distribution is its counts smoothed toward its parent's: (count(c, x) + a * p_parent(x)) / (count(c) + a); the root's is smoothed toward the
 uniform one over 256 bytes. A position is scored by the longest retained suffix of what precedes it.
 
-The contexts that reach ``min_share`` are at most 1 / min_share at each depth, whatever the input; so the model that is sent
-to the executors is bounded by parameters while the counts behind it come from the whole corpus.
+By default the divergence test alone decides, so the tree grows with the corpus. Up to ``MAX_NODES`` rows it is sent to the executors; a larger
+one stays a table: the distinct runs of the corpus get their probabilities by joins, and positions are joined with these.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, chunks, text_buffers, written
 
 DEPTH = 5
-MIN_SHARE = 5e-6
+MIN_SHARE = 0.0
+MAX_NODES = 3_000_000
 DIVERGENCE = 8.0
 SMOOTH = 2.0
 
@@ -79,16 +80,19 @@ def _count(depth: int):
 
 
 def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(c, x, n): occurrences of every byte x after every context c of ``depth`` bytes in the whole corpus; partitioned by context."""
+    """(c, x, n, cn): occurrences of every byte x after every context c of ``depth`` bytes in the whole corpus, and of c; partitioned by context."""
     found = docs.select("text").where("text is not null").mapInArrow(_count(depth), "key bigint, n bigint")
     # each task has added up its own counts already, so they are shuffled as they are
-    return found.select(F.shiftright("key", 8).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("x"), "n").repartition("c").groupBy("c", "x").agg(F.sum("n").alias("n"))
+    return found.select(F.shiftright("key", 8).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("x"), "n").repartition("c").groupBy("c", "x").agg(F.sum("n").alias("n")).withColumn("cn", _total_of())
+
+
+def _total_of() -> Column:
+    return F.sum("n").over(Window.partitionBy("c"))
 
 
 def tree(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE) -> DataFrame:
-    """(depth, c, x, n) of the retained contexts, from the counts of the longest ones."""
-    total_of = F.sum("n").over(Window.partitionBy("c"))
-    level = written(grams.withColumn("cn", total_of))
+    """(depth, c, x, n) of the retained contexts, from the written counts of the longest ones."""
+    level = grams
     total = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     levels = []
     # a shorter context's counts are sums over the longer ones; partitioned by context, its counts and their sum take one shuffle
@@ -96,7 +100,7 @@ def tree(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, div
         if k < depth:
             shorter = level.select(F.col("c").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("c"), "x", "n")
             shorter = shorter.groupBy("c", "x").agg(F.sum("n").alias("n")) if k == 0 else shorter.repartition("c").groupBy("c", "x").agg(F.sum("n").alias("n"))
-            level = written(shorter.withColumn("cn", total_of))
+            level = written(shorter.withColumn("cn", _total_of()))
         levels.append(level.where(F.col("cn") >= (max(1.0, min_share * total) if k else 0)).select(F.lit(k).alias("depth"), "c", "x", "n", "cn"))
     every = levels[0]
     for at in levels[1:]:
@@ -184,12 +188,51 @@ def _scorer(model: Model, depth: int):
     return run
 
 
-def scores(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, smooth: float = SMOOTH) -> DataFrame:
+def _positions(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = np.asarray(batch.column(0))
+            data, offs, _ = text_buffers(batch.column(1))
+            for a, b in chunks(offs):
+                o = offs[a : b + 1] - offs[a]
+                codes, keys = pd.factorize(_keys(data[offs[a] : offs[b]], o, depth))
+                if not len(keys):
+                    continue
+                at, n = np.unique(np.repeat(np.arange(b - a), np.diff(o)) * len(keys) + codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tags[a + at // len(keys)]), pa.array(keys[at % len(keys)]), pa.array(n)], names=["tag", "key", "n"])
+
+    return run
+
+
+def _by_join(docs: DataFrame, grams: DataFrame, nodes: DataFrame, depth: int, smooth: float) -> DataFrame:
+    """``scores`` with the tree as a table. Every run of a text is among ``grams``, so no byte is unseen after a retained context."""
+    nodes = nodes.withColumn("cn", F.sum("n").over(Window.partitionBy("depth", "c")))
+    runs = grams.select("c", "x").withColumn("p", F.lit(1 / 256))
+    for k in range(depth + 1):
+        at = nodes.where(F.col("depth") == k).select(F.col("c").alias("nc"), F.col("x").alias("nx"), "n", "cn")
+        runs = runs.join(at, (F.col("c").bitwiseAND(F.lit((1 << 8 * k) - 1)) == F.col("nc")) & (F.col("x") == F.col("nx")), "left")
+        runs = runs.select("c", "x", F.when(F.col("n").isNull(), F.col("p")).otherwise((F.col("n") + smooth * F.col("p")) / (F.col("cn") + smooth)).alias("p"))
+    runs = runs.select(F.shiftleft("c", 8).bitwiseOR(F.col("x")).alias("run"), F.log2("p").alias("log"))
+    tag = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    rows = docs.select("doc_id", "text", tag.alias("tag"))
+    found = rows.where("text is not null").select("tag", "text").mapInArrow(_positions(depth), "tag bigint, key bigint, n bigint")
+    sums = found.join(runs, F.col("key") == F.col("run")).groupBy(F.col("tag").alias("of")).agg(F.sum(F.col("n") * F.col("log")).alias("total"), F.sum("n").alias("seen"))
+    # equal texts have one sum together
+    size = F.octet_length("text").cast("bigint")
+    log = F.when(size == 0, F.lit(0.0)).otherwise(F.col("total") * size / F.col("seen"))
+    rows = rows.join(sums, F.col("tag") == F.col("of"), "left").select("doc_id", size.alias("n_bytes"), log.alias("log2_prob"))
+    return rows.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("log2_prob") / F.col("n_bytes")))
+
+
+def scores(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, smooth: float = SMOOTH, max_nodes: int = MAX_NODES) -> DataFrame:
     """(doc_id, n_bytes, log2_prob, bits_per_byte) for every row of ``docs`` under the tree of all rows.
 
     Null text: all null. Empty text: 0 bytes, 0, null. Repeated rows count, and are scored, each time; null ids too. Further columns aren't
     read. Empty table: no rows.
     """
-    nodes = tree(counts(docs, depth), depth, min_share, divergence).toArrow().to_pandas()
-    f = F.arrow_udf(_scorer(model_of(nodes, depth, smooth), depth), "n_bytes bigint, log2_prob double, bits_per_byte double")
+    grams = written(counts(docs, depth))
+    nodes = written(tree(grams, depth, min_share, divergence))
+    if nodes.count() > max_nodes:
+        return _by_join(docs, grams, nodes, depth, smooth)
+    f = F.arrow_udf(_scorer(model_of(nodes.toArrow().to_pandas(), depth, smooth), depth), "n_bytes bigint, log2_prob double, bits_per_byte double")
     return docs.select("doc_id", f(F.col("text")).alias("s")).select("doc_id", "s.*")
