@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +78,27 @@ def greedy_bytes(lines: DataFrame, n: int, by: str) -> DataFrame:
     return rows.select(by, F.explode(zipped).alias("z")).select(by, F.col("z.line_no").alias("line_no"), F.col("z.selected").alias("selected"))
 
 
+def greedy_stream(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
+    """``greedy_bytes`` over the whole stream of lines, as the reference has it: about n bytes in all.
+
+    Each choice depends on all before it, so the lengths (not the texts) pass through one task in order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = seen = 0
+        for batch in batches:
+            picks = []
+            for size, total in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                take = total > 0 and got <= seen * ((n + 1.0) / total)
+                picks.append(take)
+                got, seen = got + size * take, seen + size
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picks, pa.bool_())], names=[order, "selected"])
+
+    sized = lines.select(F.col(order).cast("bigint").alias(order), F.octet_length("line").cast("bigint").alias("size"))
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    return sized.crossJoin(F.broadcast(total)).coalesce(1).sortWithinPartitions(order).mapInArrow(run, f"{order} bigint, selected boolean")
+
+
 def random_lines(lines: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n lines without replacement, by a hash of their number and the seed (the same for the same seed); all when n is larger. In line order."""
     return lines.orderBy(F.xxhash64("line_no", F.lit(seed)), "line_no").limit(n).orderBy("line_no")

@@ -541,6 +541,11 @@ def sample_greedy_bytes(spark: SparkSession, d: str) -> DataFrame:
     return sample.greedy_bytes(lines, 500, "doc_id")
 
 
+@query()
+def sample_greedy_stream(spark: SparkSession, d: str) -> DataFrame:
+    return sample.greedy_stream(_lines(spark, d), 500)
+
+
 @query()
 def sample_random(spark: SparkSession, d: str) -> DataFrame:
     return sample.random_lines(_lines(spark, d), 500, seed=1)
