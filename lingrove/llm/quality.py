@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings (operator 3).
 
 A document is the average of learned vectors of its words plus the average of learned vectors of its
-character n-grams (4 bytes of case-folded text), all hashed into fixed tables; a softmax over the
+character n-grams (``NGRAMS`` characters of case-folded text), all hashed into fixed tables; a softmax over the
 classes clean, low and toxic follows. One word bucket stands for the bigrams of a word and itself, so that repetition
 is learned whatever the word. Trained by stochastic gradient descent in numpy (steps scaled for each row
 of the tables by its past gradients); buckets that few training documents have are left at zero.
@@ -9,11 +9,13 @@ The average is linear, so scoring needs no vectors: each bucket's contribution t
 once and a document is a sum of looked-up numbers.
 
 The only sample is the training set: at most ``max_rows`` labelled documents, in fixed shares of the classes,
-chosen by a hash of the id. Every document is scored, over its whole text.
+chosen by a hash of the id. The executors turn them into features and one task trains on these; the driver gets the table of
+logits alone, whose size is fixed. Every document is scored, over its whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +31,7 @@ NGRAMS = (4,)
 BUCKET_BITS = 18
 MAX_ROWS = 9000
 MIN_SHARE = 0.002  # a bucket is learned when this share of the training documents has it, two at least
-DIM, EPOCHS, RATE, BATCH, EPS = 8, 5, 0.5, 32, 1e-3
+DIM, EPOCHS, RATE, BATCH, EPS = 8, 8, 1.0, 32, 1e-3
 KEEP = 0.5
 
 
@@ -50,10 +52,18 @@ def _word_buckets(folded: np.ndarray, rolling: Rolling, offs: np.ndarray, bits:
     return np.concatenate([row, again]), np.concatenate([(h >> U(64 - bits)).astype(np.int64), np.zeros(len(again), np.int64)])
 
 
-def _gram_buckets(rolling: Rolling, n: int, bits: int) -> np.ndarray:
-    """Bucket of the n bytes from each position; the multiplication spreads the low bits into the top ones."""
-    h = rolling.grams(n)
-    return ((h ^ (h >> U(29))) * U(0x9E3779B97F4A7C15 * (2 * n + 1) & (1 << 64) - 1) >> U(64 - bits)).astype(np.int32)
+def _char_edges(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each character begins, and the end; characters before each row). A row's first byte begins one, whatever it is."""
+    begins = (data & 0xC0) != 0x80
+    begins[offs[:-1][np.diff(offs) > 0]] = True
+    edge = np.flatnonzero(begins)
+    return np.r_[edge, len(data)], np.searchsorted(edge, offs)
+
+
+def _gram_buckets(rolling: Rolling, edge: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bucket of the n characters from each one; those that run into the next row are there too."""
+    m = max(0, len(edge) - n)
+    return (rolling.spans(edge[:m], edge[n:]) >> U(64 - bits)).astype(np.int32)
 
 
 def logits(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -68,16 +78,18 @@ def logits(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n_words = np.maximum(1, np.bincount(row, minlength=n))
     for k in range(2):
         out[:, k] += np.bincount(row, model.table[:size, k][bucket], minlength=n) / n_words
-    n_grams = np.maximum(1, sum(np.maximum(0, np.diff(offs) - g + 1) for g in NGRAMS))
-    sums = np.zeros((n, 2))
+    edge, at = _char_edges(folded, offs)
+    n_grams, sums = np.zeros(n, np.int64), np.zeros((n, 2))
     for g in NGRAMS:
-        bucket = _gram_buckets(rolling, g, model.bucket_bits)
-        first, last = np.minimum(offs[:-1], len(bucket)), np.maximum(np.minimum(offs[1:] - g + 1, len(bucket)), 0)
+        bucket = _gram_buckets(rolling, edge, g, model.bucket_bits)
+        first = np.minimum(at[:-1], len(bucket))
+        last = np.maximum(np.minimum(at[1:] - g + 1, len(bucket)), first)
+        n_grams += last - first
         for k in range(2):
             total = np.zeros(len(bucket) + 1)
             np.cumsum(model.table[size:, k][bucket], out=total[1:])
-            sums[:, k] += np.where(last > first, total[np.maximum(last, first)] - total[first], 0.0)
-    return out + sums / n_grams[:, None]
+            sums[:, k] += total[last] - total[first]
+    return out + sums / np.maximum(1, n_grams)[:, None]
 
 
 def probabilities(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -87,35 +99,41 @@ def probabilities(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarra
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _features(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _features(text: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, weight) of one document; the weights of words add up to 1, those of n-grams too."""
-    data, offs, size = np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1 << bits
-    folded = fold(data)
+    offs, size = np.array([0, len(text)]), 1 << bits
+    folded = fold(text)
     rolling = Rolling(folded)
     w = _word_buckets(folded, rolling, offs, bits)[1]
-    g = np.concatenate([_gram_buckets(rolling, n, bits) for n in NGRAMS]).astype(np.int64) + size
+    edge, _ = _char_edges(folded, offs)
+    g = np.concatenate([_gram_buckets(rolling, edge, n, bits) for n in NGRAMS]).astype(np.int64) + size
     b1, c1 = np.unique(w, return_counts=True)
     b2, c2 = np.unique(g, return_counts=True)
     return np.concatenate([b1, b2]).astype(np.int32), np.concatenate([c1 / max(1, len(w)), c2 / max(1, len(g))]).astype(np.float32)
 
 
-def train(texts: list[bytes], classes: list[int], bucket_bits: int = BUCKET_BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> Model:
-    """Fit on labelled texts; classes: indices into CLASSES. Without texts of two classes the model keeps everything."""
+def train(texts: list[bytes], classes: list[int], bucket_bits: int = BUCKET_BITS, **how) -> Model:
+    """Fit on labelled texts; classes: indices into CLASSES."""
+    return train_on([_features(np.frombuffer(t, np.uint8), bucket_bits) for t in texts], classes, bucket_bits, **how)
+
+
+def train_on(made: list[tuple[np.ndarray, np.ndarray]], classes: list[int], bucket_bits: int = BUCKET_BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> Model:
+    """Fit on the features (bucket, weight) of labelled texts. Without texts of two classes the model keeps everything."""
     size = 2 << bucket_bits
     y = np.asarray(classes, np.int64)
     if len(np.unique(y)) < 2:
         return Model(np.zeros((size, 2), np.float32), np.array([-20.0, -20.0]), bucket_bits)
     rng = np.random.default_rng(seed)
-    made = [_features(t, bucket_bits) for t in texts]
     docs_with = np.zeros(size, np.int32)
     for bucket, _ in made:
         docs_with[bucket] += 1
-    used = docs_with >= max(2, round(MIN_SHARE * len(y)))
-    made = [(b[used[b]], w[used[b]]) for b, w in made]
-    e = ((rng.random((size, dim)) - 0.5) / dim).astype(np.float32)
-    e[~used] = 0
+    used = np.flatnonzero(docs_with >= max(2, round(MIN_SHARE * len(y))))
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used))
+    made = [(place[b[place[b] >= 0]], w[place[b] >= 0]) for b, w in made]
+    e = ((rng.random((len(used), dim)) - 0.5) / dim).astype(np.float32)
     w, bias = (rng.random((dim, len(CLASSES))) - 0.5).astype(np.float32), np.zeros(len(CLASSES), np.float32)
-    past_e, past_w = np.full(size, EPS, np.float32), np.full(w.shape, 1e-8, np.float32)
+    past_e, past_w = np.full(len(used), EPS, np.float32), np.full(w.shape, 1e-8, np.float32)
     steps, step = epochs * -(-len(y) // BATCH), 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -134,41 +152,64 @@ def train(texts: list[bytes], classes: list[int], bucket_bits: int = BUCKET_BITS
             lr = rate * (1 - step / steps)
             step += 1
             if len(idx):
-                by = np.argsort(idx, kind="stable")
-                bucket = idx[by]
-                at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                g_e = np.add.reduceat(((p @ w.T)[np.repeat(np.arange(len(docs)), lens)] * wt[:, None])[by], at, axis=0)
-                rows = bucket[at]
-                past_e[rows] += (g_e * g_e).mean(axis=1)
-                e[rows] -= lr * g_e / np.sqrt(past_e[rows])[:, None]
+                per_doc = (p @ w.T)[np.repeat(np.arange(len(docs)), lens)]
+                g_e = np.stack([np.bincount(idx, per_doc[:, k] * wt, minlength=len(used)) for k in range(dim)], axis=1).astype(np.float32)
+                past_e += (g_e * g_e).mean(axis=1)
+                e -= lr * g_e / np.sqrt(past_e)[:, None]
             g_w = h.T @ p / len(docs)
             past_w += g_w * g_w
             w -= lr * g_w / np.sqrt(past_w)
             bias -= lr * 0.1 * p.mean(axis=0)
-    contrast = w[:, 1:] - w[:, :1]
-    return Model((e @ contrast).astype(np.float32), (bias[1:] - bias[0]).astype(np.float64), bucket_bits)
+    table = np.zeros((size, len(CLASSES) - 1), np.float32)
+    table[used] = e @ (w[:, 1:] - w[:, :1])
+    return Model(table, (bias[1:] - bias[0]).astype(np.float64), bucket_bits)
+
+
+def _feature_rows(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs, _ = text_buffers(batch.column(3))
+            for a, b in chunks(offs):
+                made = [_features(data[offs[i] : offs[i + 1]], bits) for i in range(a, b)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), *(pa.array([m[k].tobytes() for m in made], pa.binary()) for k in range(2))], names=["id", "tag", "c", "buckets", "weights"])
+
+    return run
+
+
+def _trainer(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {}
+        for batch in batches:
+            for doc, tag, c, bucket, weight in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if doc not in rows or tag < rows[doc][0]:
+                    rows[doc] = (tag, c, np.frombuffer(bucket, np.int32), np.frombuffer(weight, np.float32))
+        some = [rows[doc] for doc in sorted(rows)]
+        m = train_on([(x[2], x[3]) for x in some], [x[1] for x in some], bits)
+        yield pa.RecordBatch.from_arrays([pa.array([m.table.tobytes()], pa.binary()), pa.array([m.bias.tobytes()], pa.binary())], names=["table", "bias"])
+
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 3, bucket_bits: int = BUCKET_BITS) -> Model:
     """Train on at most ``max_rows`` labelled documents.
 
     Several labels of one id: the worse counts. Labels with a null, or whose document is missing or null, are left
-    out; a document that repeats under one id is used once.
+    out; a document that repeats under one id is used once, and of several texts under one id the one with the least hash. The rows that
+    train are broadcast by id and shuffled to one task as features: both are bounded by ``max_rows``.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    known = known.select("doc_id", F.when(F.col("t") > 0, 2).when(F.col("q") > 0, 0).otherwise(1).alias("c"))
+    known = known.select(F.col("doc_id").cast("bigint").alias("_lr_id"), F.when(F.col("t") > 0, 2).when(F.col("q") > 0, 0).otherwise(1).alias("c"))
     picked = None
     for c, share in enumerate(SHARES):
-        some = known.where(F.col("c") == c).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(int(max_rows * share))
+        some = known.where(F.col("c") == c).orderBy(F.xxhash64("_lr_id", F.lit(seed)), "_lr_id").limit(int(max_rows * share))
         picked = some if picked is None else picked.unionByName(some)
-    rows = picked.collect()  # max_rows at most
-    if not rows:
-        return train([], [])
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r.doc_id, r.c) for r in rows], "_lr_id bigint, _lr_c int")
-    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_lr_id")).select("doc_id", "_lr_c", F.encode("text", "UTF-8").alias("b")).toArrow()
-    table = found.to_pandas().sort_values(["doc_id", "b"]).drop_duplicates("doc_id")
-    return train(table["b"].tolist(), table["_lr_c"].tolist())
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("tag"), "text")
+    found = texts.join(F.broadcast(picked), F.col("id") == F.col("_lr_id")).select("id", "tag", "c", "text")
+    rows = found.mapInArrow(_feature_rows(bucket_bits), "id bigint, tag bigint, c int, buckets binary, weights binary")
+    got = rows.repartition(1).mapInArrow(_trainer(bucket_bits), "table binary, bias binary").first()
+    if got is None:
+        return train_on([], [], bucket_bits)
+    return Model(np.frombuffer(got.table, np.float32).reshape(-1, 2), np.frombuffer(got.bias, np.float64), bucket_bits)
 
 
 def _scorer(model: Model):
