@@ -8,7 +8,7 @@ worker's memory follows the longest text, not the size of its partition.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,37 +23,47 @@ _INV = np.ones(1, U)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or (only where it is unset) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lingrove-"))
-            found = spark.sparkContext.getCheckpointDir()
-        base = found
-    return base.rstrip("/")
+    """Folder that all executors share: spark.checkpoint.dir, or the one the session was given with setCheckpointDir. Without either it raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
+    return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives the loss of executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives the loss of executors.
+
+    The table goes with ``drop_written``, or else when the session that made it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lingrove-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lingrove_path = path
+    return out
 
 
-def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
+def drop_written(*tables: DataFrame) -> None:
     """Remove tables made by ``written`` that no later step reads."""
-    base = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
     for t in tables:
-        folders = {f.rsplit("/", 1)[0] for f in t.inputFiles()}
-        for p in folders:
-            if "/lingrove-" in p and base.split(":")[-1].strip("/") in p:
-                path = jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = getattr(t, "_lingrove_path", None)
+        if path:
+            folder = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where ``df`` has a column called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"_lr_{n}"
+        while n in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n)
+    return out
 
 
 # ---- Arrow buffers ---------------------------------------------------------
@@ -76,6 +86,12 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0], null
 
 
+def strings(kind: pa.DataType, data: np.ndarray, offs: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Strings from their bytes end to end; of the type of the column that they come from, so large ones stay large."""
+    out = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.compute.if_else(pa.array(null), pa.scalar(None, pa.large_string()), out).cast(kind)
+
+
 def chunks(offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``size`` bytes, one row at least."""
     n, a = len(offs) - 1, 0
@@ -136,6 +152,10 @@ _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
 
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 13, 32]] = True
+
+
 def fold(data: np.ndarray) -> np.ndarray:
     """Lower case for ASCII and the Latin-1 letters of UTF-8."""
     out = _FOLD[data]
@@ -161,6 +181,18 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, row
 
 
+def word_counts(data: np.ndarray, offs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Tokens between blanks, tabs and line ends in each span; spans don't begin within a token, but for the rows' first bytes."""
+    full = ~_IS_SPACE[data]
+    begins = full.copy()
+    begins[1:] &= ~full[:-1]
+    edge = offs[:-1][np.diff(offs) > 0]
+    begins[edge] = full[edge]
+    total = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(begins, out=total[1:])
+    return total[end] - total[start]
+
+
 # ---- connected components --------------------------------------------------
 
 
@@ -186,17 +218,104 @@ def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, u: str = "a", v: str = "b", max_rounds: int = 60) -> DataFrame:
+def links(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], hub: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, among 0..n-1, exactly what is connected by ``near``; near(x, y): boolean matrix for two arrays of indices.
+
+    Blocks are compared with all that is left. What a block links to in large numbers is one component already, so its members are
+    compared with the rest alone, never with each other: a crowd of near copies costs a few comparisons each.
+    """
+    left, a, b = np.arange(n), [], []
+
+    def step() -> int:
+        return max(1, min(256, (1 << 18) // max(1, len(left))))
+
+    while len(left):
+        k = step()
+        block, left = left[:k], left[k:]
+        x, y = np.nonzero(np.triu(near(block, block), 1))
+        u, v = np.nonzero(near(block, left)) if len(left) else (x[:0], y[:0])
+        if len(u) <= hub:
+            a += [block[x], block[u]]
+            b += [block[y], left[v]]
+            continue
+        both = np.r_[block, left]
+        label = local_stars(len(both), np.r_[x, u], np.r_[y, k + v])
+        moved = np.flatnonzero(label != np.arange(len(both)))
+        a.append(both[label[moved]])
+        b.append(both[moved])
+        label = label[k:]
+        hit = np.flatnonzero(label < k)
+        root, many = np.unique(label[hit], return_counts=True)
+        mine = label == root[many.argmax()]
+        front, left = left[mine], left[~mine]
+        while len(front) and len(left):
+            k = step()
+            block, front = front[:k], front[k:]
+            m = near(block, left)
+            got = m.any(axis=0)
+            if got.any():
+                a.append(block[m.argmax(axis=0)[got]])
+                b.append(left[got])
+                front, left = np.r_[front, left[got]], left[~got]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def by_list(edges: Callable[[pa.Table], pa.Table], pairs: Callable[[pa.RecordBatch], Callable[[np.ndarray, np.ndarray], np.ndarray]], small: int = 64):
+    """For mapInArrow on rows (list, id, ...) sorted by list; gives edges (a, b).
+
+    ``edges``: of one list, which may go on in the next batch. Lists of up to ``small`` rows within a batch are compared together, without a
+    call for each: ``pairs(batch)`` says of two arrays of rows which pairs are near.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids, out = np.asarray(batch.column(0)), np.asarray(batch.column(1)), []
+            cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            if held and held[0].column(0)[0].as_py() != key[0]:
+                out.append(edges(pa.Table.from_batches(held)))
+                held = []
+            size = np.diff(cut)
+            if len(size) > 1 and held:
+                out.append(edges(pa.Table.from_batches([*held, batch.slice(0, size[0])])))
+                held = []
+                cut, size = cut[1:], size[1:]
+            # but for the last list, which may go on
+            for k in np.flatnonzero(size[:-1] > small):
+                out.append(edges(pa.Table.from_batches([batch.slice(cut[k], size[k])])))
+            left = np.repeat(np.where(size[:-1] <= small, cut[1:-1], 0), size[:-1]) - 1 - np.arange(cut[0], cut[-2])  # rows after it in its list
+            i, near, d = np.arange(cut[0], cut[-2]), None, 1
+            while True:
+                ok = left >= d
+                i, left = i[ok], left[ok]
+                if not len(i):
+                    break
+                near = near or pairs(batch)
+                hit = i[near(i, i + d)]
+                if len(hit):
+                    out.append(pa.table({"a": np.minimum(ids[hit], ids[hit + d]), "b": np.maximum(ids[hit], ids[hit + d])}))
+                d += 1
+            held.append(batch.slice(cut[-2], size[-1]))
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+        if held:
+            yield from edges(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     """(node, root): the smallest node of the component of every node in ``edges`` (integers).
 
     Alternating large-star and small-star rounds; each is two aggregations that combine on the map side,
     and no node's neighbour list is ever gathered. Every round is written to the shared folder; it ends
     when a round changes nothing. Nodes without an edge to another node don't appear.
     """
-    spark = edges.sparkSession
     e = written(edges.select(F.greatest(u, v).cast("bigint").alias("u"), F.least(u, v).cast("bigint").alias("v")).where("u <> v").distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # large star: each neighbour larger than the node goes to the smallest of node and neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -207,16 +326,11 @@ def components(edges: DataFrame, u: str = "a", v: str = "b", max_rounds: int = 6
         small = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(j.select("u", F.col("m").alias("v")))
         new = written(small.where("u <> v").distinct())
         state = new.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        drop_written(spark, e)
+        drop_written(e)
         e = new
         if state == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-    raise RuntimeError(f"components: not settled after {max_rounds} rounds")
-
-
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 13, 32]] = True
 
 
 def _count_tokens(col: pa.Array) -> pa.Array:
@@ -224,15 +338,7 @@ def _count_tokens(col: pa.Array) -> pa.Array:
     n = np.zeros(len(offs) - 1, np.int64)
     for a, b in chunks(offs):
         o = offs[a : b + 1] - offs[a]
-        full = ~_IS_SPACE[data[offs[a] : offs[b]]]
-        begins = full.copy()
-        begins[1:] &= ~full[:-1]
-        total = np.zeros(len(full) + 1, np.int64)
-        np.cumsum(begins, out=total[1:])
-        n[a:b] = total[o[1:]] - total[o[:-1]]
-        inner = np.flatnonzero((np.diff(o) > 0) & (o[:-1] > 0))  # a token that ends one row and one that begins the next
-        at = o[inner]
-        n[a + inner] += full[at] & full[at - 1]
+        n[a:b] = word_counts(data[offs[a] : offs[b]], o, o[:-1], o[1:])
     return pa.array(n)
 
 
