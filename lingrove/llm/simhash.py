@@ -7,12 +7,13 @@ Search: a *filter* is a strip of random coordinates with a random centre; it let
 fingerprints whose weight (after the centre is XORed in) on the strip is at most ``STRIP_WEIGHT``.
 One round draws a strip and a random set of centres such that a fingerprint passes one filter on average;
 each filter's list is then split again in the same way, on strips of its own, until a list is small, and small
-lists are compared by brute force. Rounds are repeated so often that a pair at the largest distance shares a
-small list with probability ``recall`` or more (closer pairs more often). The first level is the shuffle: a list is a
-key. Further levels run inside the task that holds the list.
+lists are compared by brute force. Rounds are repeated so often, on every level, that a pair at the largest distance is found in its list with
+probability ``recall`` or more (closer pairs more often). The first level is the shuffle: a list is a
+key. Further levels run inside the task that holds the list. A list that splitting would make dearer to search (its filters let most of it through, as in a crowd of
+near copies) is compared as it is; within a crowd that is a few comparisons for each member.
 
 Equal fingerprints are one entry from the start, so thousands of exact copies cost one. A list reports its
-components as edges to their smallest members, never all pairs; what has no edge is compared with all of its list.
+components as edges to their smallest members, never all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, chunks, components, fold, local_stars, mix, text_buffers, words, written
+from .common import U, Rolling, by_list, chunks, components, drop_written, fold, fresh, links, local_stars, mix, text_buffers, words, written
 
 BITS = 256
 MAX_BITS = 56
@@ -123,9 +124,12 @@ def rounds(strip: int, weight: int, max_bits: int, recall: float, below: float)
     return math.ceil(math.log(1 - recall) / math.log1p(-hit(strip, weight, max_bits) * below))
 
 
-def _strip_values(bits: np.ndarray, coords: np.ndarray) -> np.ndarray:
-    """Integer value of the chosen coordinates; bits: n x 256 of 0/1."""
-    return bits[:, coords].astype(np.int32) @ (1 << np.arange(len(coords), dtype=np.int32))
+def _strip_values(fp: np.ndarray, coords: np.ndarray) -> np.ndarray:
+    """Integer value of the chosen bits (0: the first one) of n x 4 uint64."""
+    v = np.zeros(len(fp), np.int32)
+    for i, c in enumerate(coords.tolist()):
+        v |= ((fp[:, c // 64] >> U(63 - c % 64)) & U(1)).astype(np.int32) << np.int32(i)
+    return v
 
 
 def _passes(values: np.ndarray, strip: int, weight: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -140,40 +144,50 @@ def _passes(values: np.ndarray, strip: int, weight: int, rng: np.random.Generato
         yield hit, c[hit]
 
 
+def _lists(fp: np.ndarray, strip: int, weight: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, centre) of one round's lists."""
+    found = list(_passes(_strip_values(fp, rng.choice(BITS, strip, replace=False)), strip, weight, rng))
+    return np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found])
+
+
 def _near(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (by index) of the near pairs among n x 4 uint64, by comparing all with all."""
-    n, a, b = len(fp), [], []
-    step = max(1, (1 << 18) // max(1, n))
-    for s in range(0, n, step):
-        block = fp[s : s + step]
-        d = np.bitwise_count(block[:, None, 0] ^ fp[None, s:, 0]).astype(np.uint16)
+    """Edges (by index) that connect the near ones among n x 4 uint64."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        p, q = fp[x], fp[y]
+        d = np.bitwise_count(p[:, None, 0] ^ q[None, :, 0]).astype(np.uint16)
         for k in range(1, 4):
-            d += np.bitwise_count(block[:, None, k] ^ fp[None, s:, k])
-        x, y = np.nonzero(d <= max_bits)
-        ok = x < y
-        a.append(x[ok] + s)
-        b.append(y[ok] + s)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
-
-
-def search_list(fp: np.ndarray, max_bits: int, recall: float, rng: np.random.Generator, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among one list: brute force when small, else split by filters on new strips and recurse."""
-    if len(fp) <= small:
-        return _near(fp, max_bits)
-    bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(len(fp), 32), axis=1)
+            d += np.bitwise_count(p[:, None, k] ^ q[None, :, k])
+        return d <= max_bits
+
+    return links(len(fp), near)
+
+
+def search_list(fp: np.ndarray, max_bits: int, recall: float, rng: np.random.Generator, small: int = SMALL, depth: list[int] | None = None, level: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Edges among one list: brute force when small, or when splitting would cost as much; else split by filters on new strips and recurse.
+
+    ``depth`` (for tests) gets the level and the size of every list that is compared.
+    """
+    n_rounds = rounds(NEXT, NEXT_WEIGHT, max_bits, recall, recall)
     left, right = [], []
-    for _ in range(rounds(NEXT, NEXT_WEIGHT, max_bits, recall, recall)):
-        v = _strip_values(bits, rng.choice(BITS, NEXT, replace=False))
-        hit, centre = map(np.concatenate, zip(*_passes(v, NEXT, NEXT_WEIGHT, rng), strict=True))
+    for r in range(n_rounds if len(fp) > small else 0):
+        hit, centre = _lists(fp, NEXT, NEXT_WEIGHT, rng)
         order = np.argsort(centre, kind="stable")
         hit, centre = hit[order], centre[order]
-        for members in np.split(hit, np.flatnonzero(np.diff(centre)) + 1) if len(hit) else []:
-            # a list that the filters can't shrink (near copies of one text) is compared as it is
-            x, y = search_list(fp[members], max_bits, recall, rng, max(small, int(0.7 * len(fp))))
+        parts = np.split(hit, np.flatnonzero(np.diff(centre)) + 1) if len(hit) else []
+        if r == 0 and n_rounds * sum(len(m) ** 2 for m in parts) >= len(fp) ** 2:
+            break
+        for members in parts:
+            x, y = search_list(fp[members], max_bits, recall, rng, small, depth, level + 1)
             left.append(members[x])
             right.append(members[y])
-    a, b = (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
-    return _stars(len(fp), a, b)
+    else:
+        if len(fp) > small:
+            a, b = (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+            return _stars(len(fp), a, b)
+    if depth is not None:
+        depth.append((level, len(fp)))
+    return _near(fp, max_bits)
 
 
 def _stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,12 +205,10 @@ def _emit(n_rounds: int, seed: int):
             cols = [np.asarray(batch.column(k)) for k in range(5)]
             for s in range(0, len(cols[0]), 20_000):
                 part = [c[s : s + 20_000] for c in cols]
-                fp = np.stack(part[1:], axis=1)
-                bits = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(len(fp), 32), axis=1)
+                fp = np.stack(part[1:], axis=1).view(U)
                 for r in range(n_rounds):
                     rng = np.random.default_rng([seed, r])
-                    v = _strip_values(bits, rng.choice(BITS, STRIP, replace=False))
-                    hit, centre = map(np.concatenate, zip(*_passes(v, STRIP, STRIP_WEIGHT, rng), strict=True))
+                    hit, centre = _lists(fp, STRIP, STRIP_WEIGHT, rng)
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array((r << STRIP) + centre.astype(np.int64)), pa.array(part[0][hit]), *(pa.array(part[k][hit]) for k in range(1, 5))], names=["list", "id", "f0", "f1", "f2", "f3"])
 
@@ -212,29 +224,11 @@ def _search(max_bits: int, recall: float, seed: int):
         a, b = _stars(len(ids), *search_list(fp, max_bits, recall, np.random.default_rng([seed, int(table.column("list")[0].as_py())])))
         return pa.table({"a": ids[a], "b": ids[b]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches sorted by list: a list may go on in the next batch."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.asarray(batch.column(0))
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            out_a, out_b = [], []
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if held and held[0].column(0)[0].as_py() != key[s]:
-                    t = edges(pa.Table.from_batches(held))
-                    out_a.append(t.column("a"))
-                    out_b.append(t.column("b"))
-                    held = []
-                held.append(batch.slice(s, e - s))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([c for x in out_a for c in x.chunks]), pa.concat_arrays([c for x in out_b for c in x.chunks])], names=["a", "b"])
-        if held:
-            t = edges(pa.Table.from_batches(held))
-            yield from t.to_batches()
+    def pairs(batch: pa.RecordBatch):
+        fp = np.stack([np.asarray(batch.column(k)) for k in range(2, 6)], axis=1).view(U)
+        return lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= max_bits
 
-    return run
+    return by_list(edges, pairs)
 
 
 def near_edges(fps: DataFrame, max_bits: int = MAX_BITS, recall: float = RECALL, seed: int = 7) -> DataFrame:
@@ -246,11 +240,12 @@ def near_edges(fps: DataFrame, max_bits: int = MAX_BITS, recall: float = RECALL,
 
 
 def groups(docs: DataFrame, max_bits: int = MAX_BITS, recall: float = RECALL, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id, is_kept) for every distinct non-null id.
+    """(doc_id, group_id, is_kept) for every distinct non-null id (a whole number).
 
     ``group_id`` is the smallest id of the near copies that are connected; that one is kept. A document
     without a word (null, empty, only punctuation) has no fingerprint and is its own group. Rows that share
-    an id are one document: its group holds the near copies of each. Null ids have no row.
+    an id are one document: its group holds the near copies of each. Null ids have no row. Long texts are read whole. Equal fingerprints
+    (ties) are near. Further columns aren't read, so their names can't clash. Empty table: no rows.
     """
     ids = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     roots = copies(docs, max_bits, recall, seed, id_col, text_col)
@@ -265,13 +260,17 @@ def copies(docs: DataFrame, max_bits: int = MAX_BITS, recall: float = RECALL, se
     near = near_edges(once.select("id", *key), max_bits, recall, seed)
     many = once.where("id <> other").select(*key, F.col("id").alias("a"))
     same = fps.join(many, key).select("a", F.col("id").alias("b")).where("a <> b")
-    return components(near.unionByName(same))
+    out = components(near.unionByName(same))
+    drop_written(fps)
+    return out
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, recall: float = RECALL, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near copies of a document with a smaller id; all columns stay.
+    """``docs`` without the near copies of a document with a smaller id; all columns stay, whatever their names.
 
-    Rows with a null id and rows without a word stay. Of rows that repeat an id all stay or all go.
+    Rows with a null id and rows without a word (null, empty, only punctuation) stay. Of rows that repeat an id all stay or all go. Equal
+    fingerprints are near, however long the texts. Empty table: no rows.
     """
-    gone = copies(docs, max_bits, recall, seed, id_col, text_col).where("node <> root").select(F.col("node").alias("_lr_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_lr_gone"], "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = copies(docs, max_bits, recall, seed, id_col, text_col).where("node <> root").select(F.col("node").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("bigint") == gone[name], "left_anti")
