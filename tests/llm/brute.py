@@ -24,17 +24,20 @@ def hamming_pairs(prints, most):
     return {(min(a, b), max(a, b)) for i, (a, x) in enumerate(prints) for b, y in prints[i + 1 :] if a != b and (x ^ y).bit_count() <= most}
 
 
-def line_dedup(docs, min_lines=2):
-    """docs: (id, text), distinct ids; gives {id: text}."""
+def line_dedup(docs, min_lines=2, min_words_one=50):
+    """docs: (id, text), distinct ids; gives {id: (text, lines removed, lines)}."""
     seen, out = set(), {}
     for doc, text in sorted(docs):
         lines = text.split("\n")
         gone = set()
-        for i in range(len(lines) - min_lines + 1):
-            run = tuple(lines[i : i + min_lines])
-            if run in seen:
-                gone |= set(range(i, i + min_lines))
-            seen.add(run)
+        for n in {1, min_lines}:
+            for i in range(len(lines) - n + 1):
+                run = tuple(lines[i : i + n])
+                if n < min_lines and len(run[0].split()) < min_words_one:
+                    continue
+                if run in seen:
+                    gone |= set(range(i, i + n))
+                seen.add(run)
         out[doc] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone), len(lines))
     return out
 

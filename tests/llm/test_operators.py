@@ -28,17 +28,31 @@ def test_same_as_sql(name, same):
     same(queries.queries()[name], queries.oracle_sql()[name])
 
 
-# ---- 1 ----------------------------------------------------------------------
+# 1: line dedup
 
 
 @pytest.mark.parametrize("min_lines", [1, 2, 3, 4])
 def test_line_dedup_like_a_loop(spark, min_lines):
     rng = random.Random(min_lines)
-    texts = ["\n".join(rng.choice("abcde") for _ in range(rng.randrange(1, 14))) for _ in range(25)] + ["", "\n\n\n", "x" * 300_000]
+    long = [" ".join(f"{c}{i}" for i in range(50 + k)) for k, c in enumerate("xyz")]
+    texts = ["\n".join(rng.choice([*"abcde", *long]) for _ in range(rng.randrange(1, 14))) for _ in range(25)] + ["", "\n\n\n", "x" * 300_000]
     got = {r.doc_id: (r.text, r.n_removed, r.n_lines) for r in line_dedup.dedup(docs_of(spark, texts), min_lines).collect()}
     assert got == brute.line_dedup(list(enumerate(texts)), min_lines)
 
 
+def test_maximal_runs(spark):
+    passage = [f"line {i} of the passage" for i in range(200)]
+    other = [f"another {i}" for i in range(5)]
+    texts = ["\n".join(["a0", *passage, "b0"]), "\n".join(["a1", *passage, "b1"]), "\n".join([*other, "c", *passage[50:130], "d"]), "\n".join(["e", *other, *passage[:3]])]
+    found = {(r.doc, r.start, r.length) for r in line_dedup.runs(docs_of(spark, texts)).collect()}
+    assert found == {(1, 1, 200), (2, 6, 80), (3, 1, 8)}  # two runs that touch are one
+    at = dict(line_dedup.levels(docs_of(spark, texts)))
+    assert sorted(at) == [1, 2, 4, 8, 16, 32, 64, 128, 256]
+    deep = at[128].orderBy("rank").collect()
+    assert sorted((r.doc, r.i) for r in deep if r.later) == [(1, 1 + k) for k in range(73)]  # 200 - 128 + 1 suffixes of the run
+    assert at[256].isEmpty()
+
+
 # ---- 2 and 10 ---------------------------------------------------------------
 
 
