@@ -9,7 +9,7 @@ from .functions import scaling
 
 @dataclass(frozen=True)
 class TrainOptions:
-    """k: n-grams per model; lengths; affix ratio (over 1: no pruning, under 0.4: 0.4); power of the smoothing (negative: logarithmic)."""
+    """k: n-grams per model; lengths; affix ratio (over 1: no pruning, under 0.4: 0.4); power of the smoothing (negative: logarithmic); limit_bytes: train on the first bytes, or on lines spread over all the text (sampled); boost: of n-grams no related model has."""
 
     k: int = 5000
     min_length: int = 3
@@ -22,6 +22,9 @@ class TrainOptions:
     skip_numbers: bool = False
     discount: float = 1.0
     oversample: float = 2.5
+    limit_bytes: int | None = None
+    sampled: bool = False
+    boost: float = 1.0
 
     def __post_init__(self) -> None:
         if not 3 <= self.min_length <= self.max_length <= 8:
@@ -52,7 +55,12 @@ class TrainOptions:
 
 @dataclass(frozen=True)
 class IdentifyOptions:
-    """block: bytes of a block (0: the first 256 KiB as one; 1 or 2: lines); ratio and top_n bound the report."""
+    """block: bytes of a block (0: the first 256 KiB as one; 1 or 2: lines); ratio and top_n bound the report.
+
+    adjust_coverage: scores times the models' adjustment; separate_sources: models that differ in their source alone are shown apart; friendly: names for
+    codes; smooth: each string's scores are mixed with those before it; ignore_blanks: blanks aren't scored; terse: languages alone; verbose: strings
+    without a language are reported too.
+    """
 
     block: int = 4096
     top_n: int = scaling.TOP_N
@@ -66,6 +74,9 @@ class IdentifyOptions:
     friendly: bool = False
     smooth: bool = False
     ignore_blanks: bool = False
+    terse: bool = False
+    show_script: bool = False
+    verbose: bool = False
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "ratio", min(1.0, max(0.0001, self.ratio)))

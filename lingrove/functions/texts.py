@@ -142,14 +142,29 @@ def widened(b: Column, ext: Extension) -> Column:
     """16-bit units: of the bytes themselves, or of the code points of UTF-8 (those beyond the first plane as surrogate pairs)."""
     if ext is Extension.NONE:
         return b
-    text = F.decode(b, "ISO-8859-1") if ext in (Extension.ASCII_LITTLE, Extension.ASCII_BIG) else F.decode(b, "UTF-8")
-    return F.encode(text, "UTF-16LE" if ext in (Extension.ASCII_LITTLE, Extension.UTF8_LITTLE) else "UTF-16BE")
+    little = ext in (Extension.ASCII_LITTLE, Extension.UTF8_LITTLE)
+    if ext in (Extension.ASCII_LITTLE, Extension.ASCII_BIG):
+        return F.encode(F.decode(b, "ISO-8859-1"), "UTF-16LE" if little else "UTF-16BE")
+    # bytes that are no UTF-8 break off their character, and reading goes on
+    broken = _each(lambda x: bytes(x).decode("utf-8", "ignore").encode("utf-16-le" if little else "utf-16-be"), "binary")
+    text = b.cast("string")
+    return F.when(F.is_valid_utf8(text), F.encode(text, "UTF-16LE" if little else "UTF-16BE")).otherwise(broken(F.when(~F.is_valid_utf8(text), b)))
+
+
+def from_utf16(b: Column, big: bool) -> Column:
+    """Text of 16-bit units, surrogates joined; units that are no character are left out."""
+    return _each(lambda x: bytes(x).decode("utf-16-be" if big else "utf-16-le", "ignore"), "string")(b)
 
 
 def without_blanks(text: Column) -> Column:
     return F.replace(text, F.lit(" "), F.lit(""))
 
 
+def without_blank_bytes(b: Column) -> Column:
+    """Bytes without 0x20."""
+    return F.unhex(F.regexp_replace(F.hex(b), "\\G((?:(?!20)..)*)20", "$1"))
+
+
 def transliterated(b: Column, source: str, target: str = "utf-8") -> Column:
     """Bytes in another encoding; bytes that aren't valid in ``source`` pass through, characters that ``target`` lacks lose their accents, or become ?."""
 
@@ -198,12 +213,7 @@ ROMAN |= {k.upper(): v[:1].upper() + v[1:] for k, v in (_CYRILLIC | _GREEK).item
 
 
 def romanized(text: Column) -> Column:
-    """Greek, Cyrillic and Arabic letters in Latin ones (after ISO 9, ISO 843 and DIN 31635); everything else as it is.
-
-    Letters that become one letter are translated in one pass in the JVM, the others replaced by name first.
-    """
-    many = {k: v for k, v in ROMAN.items() if len(v) != 1}
-    ones = {k: v for k, v in ROMAN.items() if len(v) == 1}
-    for k, v in many.items():
-        text = F.replace(text, F.lit(k), F.lit(v))
-    return F.translate(text, "".join(ones), "".join(ones.values()))
+    """Greek, Cyrillic and Arabic letters in Latin ones (after ISO 9, ISO 843 and DIN 31635); everything else as it is. One pass over each text that has such a letter."""
+    table = str.maketrans(ROMAN)
+    some = text.rlike("[\u0370-\u03ff\u0400-\u04ff\u0600-\u06ff]")
+    return F.when(some, _each(lambda x: x.translate(table), "string")(F.when(some, text))).otherwise(text)

@@ -43,20 +43,30 @@ def suffix(key: Column, size: Column, drop: int = 1) -> Column:
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary or string column; null has no bytes."""
+    wide = pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type)
     if col.null_count:
-        col = pa.compute.fill_null(col, b"" if pa.types.is_binary(col.type) else "")
+        col = pa.compute.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
     _, off, data = col.buffers()
-    offs = np.frombuffer(off, np.int32, len(col) + 1, col.offset * 4).astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    offs = np.frombuffer(off, np.int64 if wide else np.int32, len(col) + 1, col.offset * (8 if wide else 4)).astype(np.int64) if len(col) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+def pieces(offs: np.ndarray, size: int = CHUNK, rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes and at most ``rows`` rows, one row at least."""
     n, a = len(offs) - 1, 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
+        b = min(n, a + rows, max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1))
+        yield a, b
+        a = b
+
+
+def by_group(col: pa.Array) -> Iterator[tuple[object, pa.Array]]:
+    """(value, mask) of each distinct value of a column."""
+    d = col.dictionary_encode()
+    code = np.asarray(pa.compute.fill_null(d.indices, -1))
+    for k in np.unique(code):
+        yield (d.dictionary[int(k)].as_py() if k >= 0 else None), pa.array(code == k)
 
 
 def keys(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +108,7 @@ def _counter(low: int, high: int, alignment: int, allowed: Mapping[object, np.nd
                     yield pa.RecordBatch.from_arrays([pa.array([group] * len(key), pa.string()), pa.array(np.full(len(key), n, np.int32)), pa.array(key), pa.array(count)], names=["grp", "len", "key", "cnt"])
 
         for batch in batches:
-            groups = batch.column(0).to_pylist()
-            for group in dict.fromkeys(groups):
-                rows_of = pa.array([g == group for g in groups])
+            for group, rows_of in by_group(batch.column(0)):
                 data, offs = buffers(batch.column(1).filter(rows_of))
                 for a, b in pieces(offs):
                     part, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
@@ -165,3 +173,48 @@ def skips_numbers(key_hex: Column) -> Column:
     """True for a trigram that the number filter drops: digits with digits or separators, and rows of one punctuation mark."""
     digit, sep = "3[0-9]", "2[CE]"
     return key_hex.rlike(f"^({digit}{digit}|{sep}{digit}{digit}|{digit}{sep}{digit})") | key_hex.isin("2D2D2D", "3D3D3D", "2A2A2A", "2E2E2E", "3F3F3F")
+
+
+# ---- the same for units of 16 bits --------------------------------------
+
+
+def skips_wide(key_hex: Column, big: bool, newlines: bool = False, numbers: bool = False, ascii_only: bool = True) -> Column:
+    """True for a trigram of 16-bit text that is dropped.
+
+    Little end first: keys that begin with NUL split a character, so none stays; then two blanks, and CR, LF or a tab as a whole character; numbers as in
+    ``skips_numbers``. Big end first: keys with NUL in the middle alone split one (where all characters are ASCII); numbers can't be told from three bytes.
+    """
+    if not big:
+        drop = key_hex.startswith("00")
+        if newlines:
+            drop = drop | (key_hex == "200020") | key_hex.rlike("^(..00(0D|0A)|(0D|0A|09)00..)$")
+        if numbers:
+            drop = drop | key_hex.rlike("^(2[CE]003[0-9]|3[0-9]002[CE]|3[0-9]003[0-9])$") | key_hex.isin("2D002D", "3D003D", "2A002A", "2E002E", "3F003F")
+        return drop
+    drop = key_hex.rlike("^(?!00)..00..$") if ascii_only else F.lit(False)
+    return drop | key_hex.rlike("^(..00(0D|0A)|00(0D|0A|09)..)$") if newlines else drop
+
+
+def skips_pairs(key_hex: Column, newlines: bool = False, numbers: bool = False) -> Column:
+    """True for a longer n-gram of aligned big-endian text that begins with two characters to be dropped: marks repeated always, blanks and numbers where asked."""
+    drop = key_hex.rlike("^(002D002D|003D003D|002A002A|002E002E|003F003F)")
+    if newlines:
+        drop = drop | key_hex.startswith("00200020")
+    if numbers:
+        drop = drop | key_hex.rlike("^00(3[0-9]|2[CE])003[0-9]|^003[0-9]002[CE]")
+    return drop
+
+
+def ends_lines_wide(key_hex: Column, first: int, big: bool) -> Column:
+    """True for an n-gram with CR, LF or NUL as a 16-bit character from byte ``first`` - 1 on."""
+    unit = "00(0A|0D|00)" if big else "(0A|0D|00)00"
+    return key_hex.rlike(f"^(....){{{(first - 1) // 2},}}({unit})")
+
+
+def cleared(grams_: DataFrame, first: int | None = None, second: int | None = None, third: int | None = None) -> DataFrame:
+    """Trigrams (key) without those that have these bytes; None stands for any byte."""
+    drop = F.lit(True)
+    for place, byte in ((16, first), (8, second), (0, third)):
+        if byte is not None:
+            drop = drop & (F.shiftrightunsigned("key", place).bitwiseAND(F.lit(255)) == byte)
+    return grams_.where(~drop)

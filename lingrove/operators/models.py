@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scaling import POWER, U32, quantised
+from ..functions.texts import unique_model
 from . import grams
 from .select import survives, with_max_child
 
@@ -55,9 +56,50 @@ def observed(texts: DataFrame, wanted: DataFrame, low: int = 3, high: int = 8) -
     return found.join(wanted.select("lang_a", "len", "key"), ["lang_a", "len", "key"], "left_semi").select("lang_a", "len", "key", "cnt")
 
 
+LEAST_CONFUSIBLE = 100
+
+
 def stop_grams(confus: DataFrame, seen: DataFrame) -> DataFrame:
-    """(lang_a, len, key, weight): confusible n-grams that the language's own training text never has."""
-    return confus.join(seen, ["lang_a", "len", "key"], "left_anti")
+    """(lang_a, len, key, weight): confusible n-grams of three bytes and more that the language's own training text never has.
+
+    A language with ``LEAST_CONFUSIBLE`` confusible n-grams or fewer gets none.
+    """
+    enough = confus.groupBy("lang_a").agg(F.count("*").alias("_n")).where(F.col("_n") > LEAST_CONFUSIBLE).select("lang_a")
+    return confus.where("len > 2").join(enough, "lang_a", "left_semi").join(seen, ["lang_a", "len", "key"], "left_anti")
+
+
+def named_pairs(languages: DataFrame, wanted: str) -> DataFrame:
+    """(lang_b, wanted): the models that a list of descriptors (``en_US-utf-8,de/Source``) names; a descriptor that fits several models, or none, names nothing."""
+    out = None
+    for w in dict.fromkeys(x.strip() for x in wanted.split(",") if x.strip()):
+        one = unique_model(languages, w).select(F.col("lang_id").alias("lang_b"), F.lit(w).alias("wanted"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else languages.select(F.col("lang_id").alias("lang_b"), F.lit("").alias("wanted")).where("false")
+
+
+def selected(similar: DataFrame, languages: DataFrame, by: str | float, lang_a: int | None = None) -> DataFrame:
+    """(lang_a, lang_b, similarity): the models that give another one its stop-grams.
+
+    by: a list of descriptors, or a threshold of similarity (a number, or text like ``@0.5``). By similarity, models of one
+    language, region and encoding don't serve each other; a model without one of the three is no such twin.
+    """
+    if lang_a is not None:
+        similar = similar.where(F.col("lang_a") == lang_a)
+    if isinstance(by, str) and not by.startswith("@"):
+        return similar.join(F.broadcast(named_pairs(languages, by).select("lang_b").distinct()), "lang_b", "left_semi")
+    try:
+        threshold = float(by[1:]) if isinstance(by, str) else float(by)
+    except ValueError:
+        threshold = 0.5
+    a, b = (languages.select(F.col("lang_id").alias(f"lang_{x}"), F.struct("language", "region", "encoding").alias(f"_{x}")) for x in "ab")
+    twins = (F.col("_a.language") == F.col("_b.language")) & (F.col("_a.region") == F.col("_b.region")) & (F.col("_a.encoding") == F.col("_b.encoding"))
+    found = related(similar, threshold).join(F.broadcast(a), "lang_a").join(F.broadcast(b), "lang_b")
+    return found.where(~F.coalesce(twins, F.lit(False))).select("lang_a", "lang_b", "similarity")
+
+
+def raw_weight(weight: Column, total: Column) -> Column:
+    """A stop-gram's weight as a count of its language's training bytes, as vocabularies of unscaled counts write it."""
+    return F.floor(weight / F.lit(1e9) / 100.0 * total + 0.5).cast("bigint")
 
 
 def with_stop_grams(model: DataFrame, stops: DataFrame) -> DataFrame:
@@ -109,6 +151,22 @@ def clustered(model: DataFrame, encodings: DataFrame, min_length: int = 3, ratio
     return fit.join(F.broadcast(thr), "grp").where("cnt >= thr").select(F.col("grp").alias("encoding"), "len", "key", F.col("cnt").alias("quant"))
 
 
+def cluster_models(model: DataFrame, languages: DataFrame, min_length: int = 3, ratio: float = 0.90) -> tuple[DataFrame, DataFrame]:
+    """(languages, model) with one merged model for each encoding, called ``CLUS``; a second set of models to tell encodings by."""
+    merged = clustered(model, languages.select("lang_id", "encoding"), min_length, ratio)
+    names = languages.where("encoding is not null").select("encoding").distinct()
+    langs = names.select((F.row_number().over(Window.orderBy("encoding")) - 1).alias("lang_id"), F.lit("CLUS").alias("language"), F.lit("Clustered").alias("friendly"), F.lit("XX").alias("region"), "encoding", F.lit("merged").alias("source"))
+    at = langs.select("lang_id", F.col("encoding").alias("_e"))
+    rows = merged.join(F.broadcast(at), F.col("encoding") == F.col("_e"))
+    return langs, rows.select("lang_id", F.lit("CLUS").alias("lang"), "len", "key", F.lit(0).cast("bigint").alias("cnt"), F.col("quant").alias("scaled"), "quant", F.lit(False).alias("is_stop"))
+
+
+def by_name(scored: DataFrame, languages: DataFrame, ids: list[str]) -> DataFrame:
+    """Adds ``language`` and ``place``: scores other than 0 in the order of the languages' names (nameless ones last), ties by language id."""
+    at = scored.where("score <> 0").join(F.broadcast(languages.select("lang_id", "language")), "lang_id")
+    return at.withColumn("place", F.row_number().over(Window.partitionBy(*ids).orderBy(F.col("language").asc_nulls_last(), "lang_id")))
+
+
 def summary(languages: DataFrame) -> DataFrame:
     """(models, languages, pairs): counts of models, distinct languages, distinct (language, encoding); null is a value."""
     lang, enc = F.coalesce("language", F.lit("")), F.coalesce("encoding", F.lit(""))

@@ -104,10 +104,29 @@ def random_lines(lines: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return lines.orderBy(F.xxhash64("line_no", F.lit(seed)), "line_no").limit(n).orderBy("line_no")
 
 
-def training_rate(n: int, total: int) -> float:
+def training_rate(n: float, total: int) -> float:
     """Share of the bytes to take so that n of them come out: raised a little beyond a half, everything from 0.98 on."""
     if total <= 0:
         return 1.0
     i = n / total
     i = i + (i - 0.5) / 6 if i > 0.5 else i
     return 1.0 if i >= 0.98 else i
+
+
+def training_sample(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
+    """``lines`` that are ``selected`` for training: whole lines, evenly spread, of ``n`` bytes or a little more; all where there are no more.
+
+    A sample that comes out short is drawn again for more bytes, in proportion to what lacked.
+    """
+    size = F.octet_length("line").cast("bigint")
+    total = lines.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    want = float(n)
+    while True:
+        rate = training_rate(want, total)
+        if rate >= 1.0 or total < want:
+            return lines
+        got = running(lines, rate, order).where("selected").drop("selected")
+        sampled = got.agg(F.coalesce(F.sum(F.octet_length("line").cast("bigint")), F.lit(0))).first()[0]
+        if sampled >= n:
+            return got
+        want *= want / max(1, sampled) * 1.01

@@ -18,7 +18,7 @@ from ..config import IdentifyOptions
 from ..functions.scaling import length_factor
 from . import grams
 
-MAX_MODEL_ROWS = 20_000_000
+MAX_MODEL_ROWS = 4_000_000
 _MAX_ALIGN = np.array([4, 1, 2, 1])
 
 
@@ -57,11 +57,34 @@ class _Tables:
         return out
 
 
+    def rows(self) -> int:
+        """Rows that are scored at once, so that their cells stay within some 32 MB for each length, whatever the number of languages."""
+        return max(1, (2 << 20) // max(1, self.langs))
+
+    def scores(self, data: np.ndarray, offs: np.ndarray, o: IdentifyOptions) -> np.ndarray:
+        """rows x languages: the scores, -inf where nothing matches; the same arithmetic, in the same order, as ``score``."""
+        got = self.sums(data, offs)
+        shape = (len(offs) - 1, self.langs)
+        total, some = np.zeros(shape), np.zeros(shape, bool)
+        for n in o.lengths():
+            if n in got:
+                f = length_factor(n, o.bigram_weight)
+                total += got[n][:, :, 0] * f + got[n][:, :, 1] * (f * o.stop_penalty)
+                some |= (got[n] != 0).any(axis=2)
+        total /= (1e11 * np.maximum(1, np.diff(offs)))[:, None]
+        return np.where(some, rounded(total), -np.inf)
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To 6 places, halves away from zero."""
+    return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
+
+
 def _scorer(tables: _Tables, n_ids: int, lengths: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = grams.buffers(batch.column(n_ids))
-            for a, b in grams.pieces(offs, 1 << 20):
+            for a, b in grams.pieces(offs, 1 << 20, tables.rows()):
                 got = tables.sums(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 if not got:
                     continue
@@ -78,18 +101,31 @@ def _scorer(tables: _Tables, n_ids: int, lengths: range):
     return run
 
 
-def sums(strings: DataFrame, model: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions(), alignments: dict[int, int] | None = None, by_join: bool = False) -> DataFrame:
+def sendable(model: DataFrame) -> bool:
+    """Whether a model's entries may be sent to the tasks: at most ``MAX_MODEL_ROWS``, some 40 bytes each in the driver."""
+    return model.count() <= MAX_MODEL_ROWS
+
+
+def tables_of(model: DataFrame, o: IdentifyOptions, alignments: dict[int, int] | None = None) -> _Tables:
+    return _Tables(used_by(model, o).select("lang_id", "len", "key", "is_stop", "quant").toPandas(), range(2, 9), alignments or {})
+
+
+def used_by(model: DataFrame, o: IdentifyOptions) -> DataFrame:
+    """The entries of a model that count under the options."""
+    used = model.where(F.col("len").isin(list(o.lengths())))
+    return used if o.stop_grams else used.where("not is_stop")
+
+
+def sums(strings: DataFrame, model: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions(), alignments: dict[int, int] | None = None, by_join: bool = False, tables: _Tables | None = None) -> DataFrame:
     """(ids..., n_bytes, lang_id, s2, p2, ..., s8, p8): sums of quantised weights of ordinary and of stop-grams, by length.
 
     strings: the id columns and ``bytes`` (STRING or BINARY). Only languages with a match have a row.
     """
     lengths = range(2, 9)
-    used = model.where(F.col("len").isin(list(o.lengths())))
-    if not o.stop_grams:
-        used = used.where("not is_stop")
+    used = used_by(model, o)
     strings = strings.select(*ids, "bytes")
-    if not by_join and used.count() <= MAX_MODEL_ROWS:
-        tables = _Tables(used.select("lang_id", "len", "key", "is_stop", "quant").toPandas(), lengths, alignments or {})
+    if tables is not None or (not by_join and sendable(used)):
+        tables = tables or tables_of(model, o, alignments)
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strings.select(*ids).schema)
         cols = ", ".join(f"s{n} bigint, p{n} bigint" for n in lengths)
         return strings.mapInArrow(_scorer(tables, len(ids), lengths), f"{kinds}, n_bytes bigint, lang_id int, {cols}")
@@ -113,9 +149,9 @@ def score(o: IdentifyOptions = IdentifyOptions()) -> Column:
     return F.round(total / (F.lit(1e11) * F.col("n_bytes")), 6)
 
 
-def scores(strings: DataFrame, model: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions(), alignments: dict[int, int] | None = None, by_join: bool = False) -> DataFrame:
+def scores(strings: DataFrame, model: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions(), alignments: dict[int, int] | None = None, by_join: bool = False, tables: _Tables | None = None) -> DataFrame:
     """(ids..., lang_id, score)."""
-    return sums(strings, model, ids, o, alignments, by_join).select(*ids, "lang_id", score(o).alias("score"))
+    return sums(strings, model, ids, o, alignments, by_join, tables).select(*ids, "lang_id", score(o).alias("score"))
 
 
 def ranked(scored: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions()) -> DataFrame:

@@ -24,9 +24,8 @@ def covered(strings: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for lang in dict.fromkeys(langs):
-                data, offs = grams.buffers(batch.column(1).filter(pa.array([x == lang for x in langs])))
+            for lang, rows_of in grams.by_group(batch.column(0)):
+                data, offs = grams.buffers(batch.column(1).filter(rows_of))
                 sums = np.zeros(5, np.int64)
                 for a, b in grams.pieces(offs, 1 << 20):
                     part, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]

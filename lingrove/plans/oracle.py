@@ -62,7 +62,6 @@ def model(longer: str, name: str = "mo") -> str:
 
 PASS1 = TOP + one_pass("m1", "t3", 4, 6)
 MODEL = PASS1 + one_pass("m2", "m1", 7, 8) + BI + model("m2")
-MODEL3 = TOP + BI + model("t3")
 
 
 def score_expr(bigram_weight: float = BIGRAM_WEIGHT, penalty: float = -9.0, n: str = "n_bytes") -> str:
@@ -84,7 +83,7 @@ def scored(source: str, ids: str, name: str = "sc", bigram_weight: float = BIGRA
     return f",\n{name} as materialized (select {ids}, n_bytes, lang_id, {score_expr(bigram_weight)} as score from ({sums(source, ids, **how)}))"
 
 
-CONV = ",\nc as materialized (select conv_id, turn, row_number() over (partition by conv_id, turn order by role) as part, hex(encode(text)) as hx from conversations where text is not null)"
+CONV = ",\nc as materialized (select conv_id, turn, row_number() over (partition by conv_id, turn order by role, text) as part, hex(encode(text)) as hx from conversations where text is not null)"
 TURN = "conv_id, turn, part"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import IdentifyOptions, Language, TrainOptions
 from ..functions import scaling, texts
-from ..operators import grams, sample, score, select, smooth
+from ..operators import grams, identify, sample, score, select, smooth, vectors
 from ..operators import models as M
 from ..sources import files, freqlist, store
 from . import oracle as O
@@ -19,7 +19,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 TURN = ["conv_id", "turn", "part"]
-SHORT = TrainOptions(max_length=3)
 RELATED = 0.3
 _models: dict[tuple[str, str, TrainOptions], DataFrame] = {}
 
@@ -52,7 +51,7 @@ def model_of(spark: SparkSession, d: str, o: TrainOptions = TrainOptions()) -> D
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """(conv_id, turn, part, bytes); part: 1, unless several rows have one turn."""
-    part = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role"))
+    part = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
     return _table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", part.alias("part"), F.col("text").alias("bytes"))
 
 
@@ -98,6 +97,34 @@ def aligned_trigram_counts(spark: SparkSession, d: str) -> DataFrame:
     return _hexed(grams.counts(wide, 3, 3, alignment=2))
 
 
+WIDE = f"{O.TRI}, w as (select grp, regexp_replace(hx, '(..)', '{{}}', 'g') as hx from h), g as (select grp, k, l, cast(count(*) as bigint) as cnt from {O.grams('w', 'grp', 3, 6)} where i % 2 = 0 group by all)"
+
+
+def _wide(spark: SparkSession, d: str, big: bool, low: int, high: int) -> DataFrame:
+    """Counts of the aligned n-grams of the documents' bytes as 16-bit units, with key_hex."""
+    ext = texts.Extension.ASCII_BIG if big else texts.Extension.ASCII_LITTLE
+    wide = _texts(spark, d).withColumn("bytes", texts.widened(grams.utf8(F.col("bytes")), ext))
+    return grams.counts(wide, low, high, alignment=2).withColumn("key_hex", grams.hex_key(F.col("key"), F.col("len")))
+
+
+@query(WIDE.format("\\1' || '00") + " select grp as lang, k as key_hex, cnt from g where l = 3 and not (k like '00%' or k in ('200020', '2D002D', '3D003D', '2A002A', '2E002E', '3F003F') or regexp_matches(k, '^(..00(0D|0A)|(0D|0A|09)00..|2[CE]003[0-9]|3[0-9]002[CE]|3[0-9]003[0-9])$'))")
+def wide_trigrams_little(spark: SparkSession, d: str) -> DataFrame:
+    out = _wide(spark, d, False, 3, 3)
+    return out.where(~grams.skips_wide(F.col("key_hex"), False, True, True)).select(F.col("grp").alias("lang"), "key_hex", "cnt")
+
+
+@query(WIDE.format("00\\1") + " select grp as lang, k as key_hex, cnt from g where l = 3 and not (regexp_matches(k, '^..00(0D|0A)$|^00(0D|0A|09)..$') or (substr(k, 3, 2) = '00' and substr(k, 1, 2) <> '00'))")
+def wide_trigrams_big(spark: SparkSession, d: str) -> DataFrame:
+    out = _wide(spark, d, True, 3, 3)
+    return out.where(~grams.skips_wide(F.col("key_hex"), True, True)).select(F.col("grp").alias("lang"), "key_hex", "cnt")
+
+
+@query(WIDE.format("00\\1") + " select grp as lang, cast(l as int) as len, k as key_hex, cnt from g where l >= 4 and not (regexp_matches(k, '^00(2D002D|3D003D|2A002A|2E002E|3F003F|200020)') or regexp_matches(k, '^00(3[0-9]|2C|2E)003[0-9]') or regexp_matches(k, '^003[0-9]00(2C|2E)'))")
+def wide_ngrams_skip_pairs(spark: SparkSession, d: str) -> DataFrame:
+    out = _wide(spark, d, True, 4, 6)
+    return out.where(~grams.skips_pairs(F.col("key_hex"), True, True)).select(F.col("grp").alias("lang"), "len", "key_hex", "cnt")
+
+
 # ---- selection --------------------------------------------------------------
 
 
@@ -136,9 +163,9 @@ def ngram_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hexed(select.pruned(top.unionByName(longer), 4, 6, 3, O.K, 0.9))
 
 
-@query(f"{O.TOP}{O.BI} select grp as lang, k as key_hex, cnt from t3 union all select grp, k, cnt from bi where cnt >= 2")
+@query(f"{O.MODEL} select lang, k as key_hex, cnt from mo")
 def bigram_merge(spark: SparkSession, d: str) -> DataFrame:
-    longer, pairs = T.select_ngrams(_texts(spark, d), SHORT)
+    longer, pairs = T.select_ngrams(_texts(spark, d))
     return _hexed(longer.unionByName(pairs.where("cnt >= 2").select(*longer.columns)))
 
 
@@ -154,27 +181,27 @@ def train_model(spark: SparkSession, d: str) -> DataFrame:
     return _entries(T.train(_table(spark, d, "documents"))).select("lang_id", "lang", "len", "key_hex", "cnt", "scaled", "quant")
 
 
-@query(f"{O.MODEL3} select lang, k as key_hex, cnt, scaled from mo")
+@query(f"{O.MODEL} select lang, k as key_hex, cnt, scaled from mo")
 def scaled_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return _entries(model_of(spark, d, SHORT)).select("lang", "key_hex", "cnt", "scaled")
+    return _entries(model_of(spark, d)).select("lang", "key_hex", "cnt", "scaled")
 
 
-@query(f"{O.MODEL3} select lang, k as key_hex, quant, quant / cast(1e11 as double) as probability, quant / cast(1e9 as double) as percentage from mo")
+@query(f"{O.MODEL} select lang, k as key_hex, quant, quant / cast(1e11 as double) as probability, quant / cast(1e9 as double) as percentage from mo")
 def quantized_model(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("quant")
-    return _entries(model_of(spark, d, SHORT)).select("lang", "key_hex", "quant", scaling.probability(q).alias("probability"), scaling.percentage(q).alias("percentage"))
+    return _entries(model_of(spark, d)).select("lang", "key_hex", "quant", scaling.probability(q).alias("probability"), scaling.percentage(q).alias("percentage"))
 
 
-@query(f"{O.MODEL3} select lang, k as key_hex, cast(floor(pow(scaled / cast(1e9 as double), cast(1.0 as double) / cast({scaling.POWER} as double)) * total / 100.0 + 0.99) as bigint) as cnt from mo join ids using (lang_id)")
+@query(f"{O.MODEL} select lang, k as key_hex, cast(floor(pow(scaled / cast(1e9 as double), cast(1.0 as double) / cast({scaling.POWER} as double)) * total / 100.0 + 0.99) as bigint) as cnt from mo join ids using (lang_id)")
 def unscaled_frequencies(spark: SparkSession, d: str) -> DataFrame:
     total = T.totals(_texts(spark, d)).select(F.col("grp").alias("lang"), "total")
     back = F.floor(scaling.unscaled(F.col("scaled")) * F.col("total") / 100.0 + 0.99).cast("bigint")
-    return _entries(model_of(spark, d, SHORT)).join(F.broadcast(total), "lang").select("lang", "key_hex", back.alias("cnt"))
+    return _entries(model_of(spark, d)).join(F.broadcast(total), "lang").select("lang", "key_hex", back.alias("cnt"))
 
 
-@query(f"{O.MODEL3} select lang, count(*) as n, cast(0 as bigint) as n_stop, max(len) as longest from mo group by lang")
+@query(f"{O.MODEL} select lang, count(*) as n, cast(0 as bigint) as n_stop, max(len) as longest from mo group by lang")
 def model_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return M.sizes(model_of(spark, d, SHORT))
+    return M.sizes(model_of(spark, d))
 
 
 SIM = """,
@@ -183,76 +210,76 @@ nn as (select lang_id, sqrt(sum(w * w)) as n from nw group by lang_id),
 sim as materialized (select a.lang_id as lang_a, b.lang_id as lang_b, round(sum(a.w * b.w) / (any_value(x.n) * any_value(y.n)), 6) as similarity from nw a join nw b on a.k = b.k join nn x on a.lang_id = x.lang_id join nn y on b.lang_id = y.lang_id group by all)"""
 
 
-@query(f"{O.MODEL3}{SIM} select lang_a, lang_b, similarity from sim")
+@query(f"{O.MODEL}{SIM} select lang_a, lang_b, similarity from sim")
 def model_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return M.similarity(model_of(spark, d, SHORT))
+    return M.similarity(model_of(spark, d))
 
 
-@query(f"{O.MODEL3}{SIM} select lang_a, lang_b, similarity from sim where lang_a <> lang_b and similarity >= {RELATED}")
+@query(f"{O.MODEL}{SIM} select lang_a, lang_b, similarity from sim where lang_a <> lang_b and similarity >= {RELATED}")
 def related_models(spark: SparkSession, d: str) -> DataFrame:
-    return M.related(M.similarity(model_of(spark, d, SHORT)), RELATED)
+    return M.related(M.similarity(model_of(spark, d)), RELATED)
 
 
 CONF = f"""{SIM},
 pr as (select lang_a, lang_b, pow(similarity * case when total < 2000000.0 then pow(greatest(cast(0.0 as double), (total - cast(15000.0 as double)) / 1985000.0), cast(0.7 as double)) else 1.0 end, cast({scaling.POWER} as double)) as w from sim join ids on lang_b = lang_id where lang_a <> lang_b and similarity >= {RELATED}),
 conf as materialized (select lang_a, len, k, max(cast(floor(w * quant + 0.5) as bigint)) as weight from mo join pr on lang_id = lang_b where quant > 0 group by all having weight >= {M.MIN_CONFUSIBLE})"""
 SEEN = f""",
-seen as materialized (select lang_id as lang_a, cast(l as int) as len, k, cast(count(*) as bigint) as cnt from {O.grams("h", "grp", 2, 3)} g join ids on g.grp = ids.grp semi join conf on conf.lang_a = lang_id and conf.k = g.k group by all)"""
+seen as materialized (select lang_id as lang_a, cast(l as int) as len, k, cast(count(*) as bigint) as cnt from {O.grams("h", "grp", 2, 8)} g join ids on g.grp = ids.grp semi join conf on conf.lang_a = lang_id and conf.k = g.k group by all)"""
 STOPS = """,
-stops as materialized (select lang_a, len, k, weight from conf anti join seen on conf.lang_a = seen.lang_a and conf.k = seen.k)"""
+stops as materialized (select lang_a, len, k, weight from conf anti join seen on conf.lang_a = seen.lang_a and conf.k = seen.k where len > 2 and lang_a in (select lang_a from conf group by lang_a having count(*) > 100))"""
 
 
 def _confusible(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(confusible n-grams, their occurrences in the language's own texts)."""
-    model = model_of(spark, d, SHORT)
+    model = model_of(spark, d)
     t = _texts(spark, d)
     ids = model.select("lang_id", "lang").distinct()
     total = T.totals(t).join(ids, F.col("grp") == F.col("lang")).select("lang_id", "total")
     conf = T.kept(M.confusible(model, M.related(M.similarity(model), RELATED), total))
     own = t.join(F.broadcast(ids), F.col("grp") == F.col("lang")).select(F.col("lang_id").cast("string").alias("grp"), "bytes")
-    return conf, M.observed(own, conf, 2, 3)
+    return conf, M.observed(own, conf, 2, 8)
 
 
 def _keyed(df: DataFrame, value: str) -> DataFrame:
     return df.select("lang_a", "len", grams.hex_key(F.col("key"), F.col("len")).alias("key_hex"), value)
 
 
-@query(f"{O.MODEL3}{CONF} select lang_a, len, k as key_hex, weight from conf")
+@query(f"{O.MODEL}{CONF} select lang_a, len, k as key_hex, weight from conf")
 def confusible_weights(spark: SparkSession, d: str) -> DataFrame:
     return _keyed(_confusible(spark, d)[0], "weight")
 
 
-@query(f"{O.MODEL3}{CONF}{SEEN} select lang_a, len, k as key_hex, cnt from seen")
+@query(f"{O.MODEL}{CONF}{SEEN} select lang_a, len, k as key_hex, cnt from seen")
 def confusible_counts(spark: SparkSession, d: str) -> DataFrame:
     return _keyed(_confusible(spark, d)[1], "cnt")
 
 
-@query(f"{O.MODEL3}{CONF}{SEEN}{STOPS} select lang_a, len, k as key_hex, weight from stops")
+@query(f"{O.MODEL}{CONF}{SEEN}{STOPS} select lang_a, len, k as key_hex, weight from stops")
 def stopgrams(spark: SparkSession, d: str) -> DataFrame:
     return _keyed(M.stop_grams(*_confusible(spark, d)), "weight")
 
 
-@query(f"{O.MODEL3}{CONF} select lang_id, k as key_hex, case when c.k is null then cast(least(4294967295, floor(scaled * pow(cast(200.0 as double), cast({scaling.POWER} as double)) + 0.9)) as bigint) else scaled end as scaled from mo m left join (select lang_a, k from conf) c on m.lang_id = c.lang_a and m.k = c.k".replace("k as key_hex", "m.k as key_hex", 1))
+@query(f"{O.MODEL}{CONF} select lang_id, k as key_hex, case when c.k is null then cast(least(4294967295, floor(scaled * pow(cast(200.0 as double), cast({scaling.POWER} as double)) + 0.9)) as bigint) else scaled end as scaled from mo m left join (select lang_a, k from conf) c on m.lang_id = c.lang_a and m.k = c.k".replace("k as key_hex", "m.k as key_hex", 1))
 def unique_boost(spark: SparkSession, d: str) -> DataFrame:
-    return _entries(M.boosted(model_of(spark, d, SHORT), _confusible(spark, d)[0], 2.0)).select("lang_id", "key_hex", "scaled")
+    return _entries(M.boosted(model_of(spark, d), _confusible(spark, d)[0], 2.0)).select("lang_id", "key_hex", "scaled")
 
 
 COVER = f""",
-hit as materialized (select g.grp, doc_id, l, i, m.cnt from {O.grams("h", "grp, doc_id", 2, 3)} g join mo m on m.lang = g.grp and m.k = g.k),
+hit as materialized (select g.grp, doc_id, l, i, m.cnt from {O.grams("h", "grp, doc_id", 2, 8)} g join mo m on m.lang = g.grp and m.k = g.k),
 cov as materialized (select t.grp as lang, any_value(t.total) as total, round(any_value(n.covered) / cast(any_value(t.total) as double), 6) as coverage, round(sum(l) / cast(any_value(t.total) as double), 6) as counted_cover, round(sqrt(sum(l * cnt) / cast(1e9 as double)), 6) as freq_cover, round(count(*) / cast(any_value(t.total) as double), 6) as match_factor
   from tot t join hit on t.grp = hit.grp join (select grp, count(*) as covered from (select distinct grp, doc_id, unnest(range(i, i + l)) as at from hit) group by grp) n on n.grp = t.grp group by t.grp)"""
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
-    return M.coverage(_texts(spark, d).withColumnRenamed("grp", "lang"), model_of(spark, d, SHORT))
+    return M.coverage(_texts(spark, d).withColumnRenamed("grp", "lang"), model_of(spark, d))
 
 
-@query(f"{O.MODEL3}{COVER} select lang, total, coverage, counted_cover, freq_cover, match_factor from cov")
+@query(f"{O.MODEL}{COVER} select lang, total, coverage, counted_cover, freq_cover, match_factor from cov")
 def coverage_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _coverage(spark, d)
 
 
-@query(f"""{O.MODEL3},
+@query(f"""{O.MODEL},
 en as (select lang_id, case when lang_id % 2 = 0 then 'utf-8' else 'latin-1' end as encoding from ids),
 mm as (select encoding, len, k, quant, lang_id from mo join en using (lang_id)),
 sz as (select encoding, 2 * max(n) as kk from (select encoding, lang_id, count(*) as n from mm group by all) group by encoding),
@@ -261,7 +288,7 @@ ch as (select encoding, substr(k, 1, length(k) - 2) as k, max(q) as child from m
 ok as (select me.encoding, me.k, q from me left join ch on me.encoding = ch.encoding and me.k = ch.k where length(me.k) >= 6 and (coalesce(child, 0) < cast(0.9 as double) * q or (length(me.k) = 6 and coalesce(child, 0) < cast(0.995 as double) * q)))
 select encoding, cast(length(k) // 2 as int) as len, k as key_hex, q as quant from (select ok.*, rank() over (partition by encoding order by q desc) as r from ok) join sz using (encoding) where r <= kk""")
 def cluster_by_encoding(spark: SparkSession, d: str) -> DataFrame:
-    model = model_of(spark, d, SHORT)
+    model = model_of(spark, d)
     enc = model.select("lang_id").distinct().withColumn("encoding", F.when(F.col("lang_id") % 2 == 0, "utf-8").otherwise("latin-1"))
     out = M.clustered(model, enc)
     return out.select("encoding", "len", grams.hex_key(F.col("key"), F.col("len")).alias("key_hex"), "quant")
@@ -269,16 +296,56 @@ def cluster_by_encoding(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select count(distinct lang) as models, count(distinct lang) as languages, count(distinct lang) as pairs from documents where text is not null")
 def db_summary(spark: SparkSession, d: str) -> DataFrame:
-    return M.summary(_languages(model_of(spark, d, SHORT)))
+    return M.summary(_languages(model_of(spark, d)))
+
+
+@query()
+def database_dump(spark: SparkSession, d: str) -> DataFrame:
+    model = model_of(spark, d)
+    langs = _languages(model).withColumn("lang_id", F.col("lang_id").cast("int"))
+    return store.dump(langs, model)
+
+
+@query(f"{O.MODEL} select lpad(lang_id::varchar, 6, '0') as place, printf('  Lang %2d: %s_(null)-utf-8 / (null)', lang_id, grp) as value from ids")
+def database_languages(spark: SparkSession, d: str) -> DataFrame:
+    return store.dump(_languages(model_of(spark, d))).where("part = 1").select("place", "value")
+
+
+@query(f"{O.MODEL}{CONF}{SEEN}{STOPS} select lang_a, len, k as key_hex, cast(floor(weight / cast(1e9 as double) / 100.0 * total + 0.5) as bigint) as weight from stops join ids on lang_a = lang_id")
+def stopgram_raw_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Stop-grams as a vocabulary of unscaled counts has them."""
+    total = T.totals(_texts(spark, d)).join(model_of(spark, d).select("lang_id", F.col("lang").alias("grp")).distinct(), "grp").select(F.col("lang_id").alias("lang_a"), "total")
+    return _keyed(M.stop_grams(*_confusible(spark, d)).join(F.broadcast(total), "lang_a").withColumn("weight", M.raw_weight(F.col("weight"), F.col("total"))), "weight")
+
+
+@query(f"{O.MODEL}{SIM} select s.lang_a, s.lang_b, s.similarity from sim s join ids i on s.lang_b = i.lang_id where i.grp in ('de', 'es')")
+def related_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """The models that a list of descriptors names."""
+    model = model_of(spark, d)
+    return M.selected(M.similarity(model), _languages(model), "DE-utf-8,es,xx").select("lang_a", "lang_b", "similarity")
+
+
+@query(f"""{O.MODEL}{CONF}{SEEN}{STOPS}
+select k as key_hex, scaled, quant, is_stop from mo where lang = 'fr'
+union all select k, weight, {O.quant('weight')}, true from stops where lang_a = (select lang_id from ids where grp = 'fr')""")
+def train_group(spark: SparkSession, d: str) -> DataFrame:
+    """French trained as a group of its own and added, with its stop-grams, to a database of the other languages."""
+    docs = _table(spark, d, "documents")
+    others = T.train(docs.where("lang <> 'fr'"))
+    total = T.totals(_texts(spark, d)).withColumnRenamed("grp", "lang")
+    langs = others.select("lang_id", "lang").distinct().join(total, "lang")
+    rows = [Language(r.lang, train_bytes=r.total) for r in langs.orderBy("lang_id").collect()]
+    new = docs.where("lang = 'fr'").select(F.col("text").alias("bytes"))
+    _, ngrams, _ = T.add_group(store.languages(spark, rows), others, new, Language("fr"), TrainOptions(), RELATED)
+    return _entries(ngrams.where("lang = 'fr'")).select("key_hex", "scaled", "quant", "is_stop")
 
 
 # ---- identification ---------------------------------------------------------
 
 FULL = f"{O.MODEL}{O.CONV}{O.scored('c', O.TURN)}"
-CONV3 = f"{O.MODEL3}{O.CONV}{O.scored('c', O.TURN, high=3)}"
 
 
-def _scored(spark: SparkSession, d: str, train: TrainOptions = SHORT, o: IdentifyOptions = IdentifyOptions(), **how) -> DataFrame:
+def _scored(spark: SparkSession, d: str, train: TrainOptions = TrainOptions(), o: IdentifyOptions = IdentifyOptions(), **how) -> DataFrame:
     return score.scores(turns(spark, d), model_of(spark, d, train), TURN, o, **how)
 
 
@@ -289,55 +356,55 @@ def langid_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{FULL} select {O.TURN}, lang_id, score from {O.ranked(O.TURN)} where rank = 1")
 def langid_best(spark: SparkSession, d: str) -> DataFrame:
-    return score.ranked(_scored(spark, d, TrainOptions()), TURN).where("rank = 1").select(*TURN, "lang_id", "score")
+    return identify.best(turns(spark, d), model_of(spark, d), TURN).where("lang_id is not null").select(*TURN, "lang_id", "score")
 
 
-@query(f"{CONV3} select {O.TURN}, lang_id, score from sc")
+@query(f"{FULL} select {O.TURN}, lang_id, score from sc")
 def langid_scores_by_join(spark: SparkSession, d: str) -> DataFrame:
     """The shuffle join of exploded n-grams with the model, which serves models too large to be sent."""
     return _scored(spark, d, by_join=True)
 
 
-@query(f"{CONV3} select {O.TURN}, lang_id, score, cast(rank as int) as rank from {O.ranked(O.TURN)} where {O.report_where()}")
+@query(f"{FULL} select {O.TURN}, lang_id, score, cast(rank as int) as rank from {O.ranked(O.TURN)} where {O.report_where()}")
 def langid_topn_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return score.report(_scored(spark, d), TURN)
 
 
-@query(f"{CONV3} select {O.TURN}, lang_id, score, cast(rank as int) as rank from {O.ranked(O.TURN)} where {O.cut_where()}")
+@query(f"{FULL} select {O.TURN}, lang_id, score, cast(rank as int) as rank from {O.ranked(O.TURN)} where {O.cut_where()}")
 def langid_filter_fallback(spark: SparkSession, d: str) -> DataFrame:
     return score.cut(_scored(spark, d), TURN)
 
 
-@query(f"{O.MODEL3}{O.CONV}{O.scored('c', O.TURN, bigram_weight=0.0, low=3, high=3)} select {O.TURN}, lang_id, score from sc")
+@query(f"{O.MODEL}{O.CONV}{O.scored('c', O.TURN, bigram_weight=0.0, low=3)} select {O.TURN}, lang_id, score from sc")
 def langid_no_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, o=IdentifyOptions(bigram_weight=0.0))
 
 
-@query(f"{O.MODEL3}{O.CONV}{O.scored('c', O.TURN, high=3, where='case when lang_id % 2 = 1 then 2 else 1 end <= (case i % 4 when 0 then 4 when 2 then 2 else 1 end)')} select {O.TURN}, lang_id, score from sc")
+@query(f"{O.MODEL}{O.CONV}{O.scored('c', O.TURN, where='case when lang_id % 2 = 1 then 2 else 1 end <= (case i % 4 when 0 then 4 when 2 then 2 else 1 end)')} select {O.TURN}, lang_id, score from sc")
 def langid_aligned(spark: SparkSession, d: str) -> DataFrame:
     """Every other model as if its characters had two bytes: its n-grams count at even starts only."""
-    n = model_of(spark, d, SHORT).agg(F.coalesce(F.max("lang_id"), F.lit(-1))).first()[0] + 1
+    n = model_of(spark, d).agg(F.coalesce(F.max("lang_id"), F.lit(-1))).first()[0] + 1
     return _scored(spark, d, alignments={i: 1 + i % 2 for i in range(n)})
 
 
 STOP_MODEL = f"{CONF}{SEEN}{STOPS},\nms as materialized (select lang_id, len, k, quant, is_stop from mo union all select lang_a, len, k, {O.quant('weight')}, true from stops)"
 
 
-@query(f"{O.MODEL3}{STOP_MODEL}{O.CONV}{O.scored('c', O.TURN, model='ms', high=3)} select {O.TURN}, lang_id, score from sc")
+@query(f"{O.MODEL}{STOP_MODEL}{O.CONV}{O.scored('c', O.TURN, model='ms')} select {O.TURN}, lang_id, score from sc")
 def langid_stopgrams(spark: SparkSession, d: str) -> DataFrame:
-    model = M.with_stop_grams(model_of(spark, d, SHORT), M.stop_grams(*_confusible(spark, d)))
+    model = M.with_stop_grams(model_of(spark, d), M.stop_grams(*_confusible(spark, d)))
     return score.scores(turns(spark, d), model, TURN)
 
 
-@query(f"{CONV3} select {O.TURN}, lang_id, score from sc")
+@query(f"{FULL} select {O.TURN}, lang_id, score from sc")
 def langid_no_stopgrams(spark: SparkSession, d: str) -> DataFrame:
-    model = M.with_stop_grams(model_of(spark, d, SHORT), M.stop_grams(*_confusible(spark, d)))
+    model = M.with_stop_grams(model_of(spark, d), M.stop_grams(*_confusible(spark, d)))
     return score.scores(turns(spark, d), model, TURN, IdentifyOptions(stop_grams=False))
 
 
-@query(f"{CONV3}{COVER} select {O.TURN}, lang_id, round(score / pow(match_factor, cast(0.25 as double)), 6) as score from sc join ids using (lang_id) join cov on cov.lang = ids.grp")
+@query(f"{FULL}{COVER} select {O.TURN}, lang_id, round(score / pow(match_factor, cast(0.25 as double)), 6) as score from sc join ids using (lang_id) join cov on cov.lang = ids.grp")
 def langid_coverage_adjusted(spark: SparkSession, d: str) -> DataFrame:
-    ids = model_of(spark, d, SHORT).select("lang_id", "lang").distinct()
+    ids = model_of(spark, d).select("lang_id", "lang").distinct()
     factor = _coverage(spark, d).join(ids, "lang").select("lang_id", M.adjustment(F.col("match_factor"), F.lit(1)).alias("f"))
     return _scored(spark, d).join(F.broadcast(factor), "lang_id").select(*TURN, "lang_id", F.round(F.col("score") * F.col("f"), 6).alias("score"))
 
@@ -347,17 +414,18 @@ bl as materialized (select doc_id, s as start, substr(hx, cast(2 * s + 1 as int)
 H0 = ",\nh0 as materialized (select doc_id, hex(encode(text)) as hx from documents where text is not null)"
 
 
-@query(f"{O.MODEL3}{H0}{BLOCKS}{O.scored('bl', 'doc_id, start', high=3)} select doc_id, start, lang_id, score from {O.ranked('doc_id, start')} where {O.report_where()} and rank = 1")
+@query(f"{O.MODEL}{H0}{BLOCKS}{O.scored('bl', 'doc_id, start')} select doc_id, start, lang_id, score from {O.ranked('doc_id, start')} where {O.report_where()} and rank = 1")
 def langid_blocks(spark: SparkSession, d: str) -> DataFrame:
     blocks = files.blocks_of(_table(spark, d, "documents").where("text is not null"), ["doc_id"], 4096)
-    found = score.scores(blocks, model_of(spark, d, SHORT), ["doc_id", "start"])
-    return score.report(found, ["doc_id", "start"]).where("rank = 1").select("doc_id", "start", "lang_id", "score")
+    found = identify.shown(blocks, model_of(spark, d), _languages(model_of(spark, d)), ["doc_id", "start"], IdentifyOptions(top_n=1))
+    return found.select("doc_id", "start", F.explode("shown").alias("s")).select("doc_id", "start", "s.lang_id", "s.score")
 
 
-@query(f"{O.MODEL3}{H0},\nff as (select doc_id, substr(hx, 1, 524288) as hx from h0){O.scored('ff', 'doc_id', high=3)} select doc_id, lang_id, score from {O.ranked('doc_id')} where {O.report_where()}")
+@query(f"{O.MODEL}{H0},\nff as (select doc_id, substr(hx, 1, 524288) as hx from h0){O.scored('ff', 'doc_id')} select doc_id, lang_id, score from {O.ranked('doc_id')} where {O.report_where()}")
 def langid_full_file(spark: SparkSession, d: str) -> DataFrame:
     whole = files.full_file(_table(spark, d, "documents").where("text is not null"), ["doc_id"])
-    return score.report(score.scores(whole, model_of(spark, d, SHORT), ["doc_id"]), ["doc_id"]).select("doc_id", "lang_id", "score")
+    found = identify.shown(whole, model_of(spark, d), _languages(model_of(spark, d)), ["doc_id"])
+    return found.select("doc_id", F.explode("shown").alias("s")).select("doc_id", "s.lang_id", "s.score")
 
 
 LINES = """,
@@ -365,54 +433,101 @@ ls as (select doc_id, string_split(case when ends_with(text, chr(10)) then left(
 ln as materialized (select doc_id, cast(i - 1 as bigint) as line_no, line, line || case when i < n or fed then chr(10) else '' end as bytes from (select doc_id, unnest(p) as line, generate_subscripts(p, 1) as i, len(p) as n, fed from ls))"""
 
 
-@query(f"{O.MODEL3}{LINES},\nlh as (select doc_id, line_no, hex(encode(bytes)) as hx from ln){O.scored('lh', 'doc_id, line_no', high=3)} select ln.doc_id, ln.line_no, coalesce(ids.grp, '??') as label, ln.line from ln left join (select * from {O.ranked('doc_id, line_no')} where {O.report_where()} and rank = 1) r on r.doc_id = ln.doc_id and r.line_no = ln.line_no left join ids on ids.lang_id = r.lang_id")
+@query(f"{O.MODEL}{LINES},\nlh as (select doc_id, line_no, hex(encode(bytes)) as hx from ln){O.scored('lh', 'doc_id, line_no')} select ln.doc_id, ln.line_no, coalesce(ids.grp, '??') as label, ln.line from ln left join (select * from {O.ranked('doc_id, line_no')} where {O.report_where()} and rank = 1) r on r.doc_id = ln.doc_id and r.line_no = ln.line_no left join ids on ids.lang_id = r.lang_id")
 def langid_lines(spark: SparkSession, d: str) -> DataFrame:
-    model = model_of(spark, d, SHORT)
+    model = model_of(spark, d)
     lines = files.lines_of(_table(spark, d, "documents"), ["doc_id"])
-    best = score.report(score.scores(lines, model, ["doc_id", "line_no"]), ["doc_id", "line_no"]).where("rank = 1")
-    names = model.select("lang_id", "lang").distinct()
-    label = best.join(F.broadcast(names), "lang_id").select("doc_id", "line_no", "lang")
-    return lines.join(label, ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.coalesce("lang", F.lit("??")).alias("label"), "line")
+    found = identify.shown(lines, model, _languages(model), ["doc_id", "line_no"], IdentifyOptions(block=1, top_n=1, terse=True))
+    return found.select("doc_id", "line_no", F.coalesce(F.try_element_at("shown", F.lit(1))["label"], F.lit("??")).alias("label"), "line")
 
 
-@query(f"{CONV3} select {O.TURN}, '@ 0-' || n_bytes || ' ' || string_agg(grp || ':' || printf('%.6f', score), ' ' order by rank) as report from {O.ranked(O.TURN)} join ids using (lang_id) where {O.report_where()} group by {O.TURN}, n_bytes")
+@query(f"{FULL} select {O.TURN}, '@ 00000000-' || printf('%08X', n_bytes - 1) || ' ' || string_agg(grp || '-utf-8:' || printf('%.6f', score), ' ' order by rank) as report from {O.ranked(O.TURN)} join ids using (lang_id) where {O.report_where()} group by {O.TURN}, n_bytes")
 def langid_report(spark: SparkSession, d: str) -> DataFrame:
     """One line for each string: its extent and the languages reported, best first."""
-    model = model_of(spark, d, SHORT)
-    found = score.sums(turns(spark, d), model, TURN).withColumn("score", score.score()).select(*TURN, "n_bytes", "lang_id", "score")
-    named = score.report(found, TURN).join(F.broadcast(model.select("lang_id", "lang").distinct()), "lang_id")
-    one = F.transform(F.array_sort(F.collect_list(F.struct("rank", "lang", "score"))), lambda x: F.format_string("%s:%.6f", x["lang"], x["score"]))
-    return named.groupBy(*TURN, "n_bytes").agg(F.concat(F.format_string("@ 0-%d ", "n_bytes"), F.array_join(one, " ")).alias("report")).drop("n_bytes")
+    found = identify.shown(turns(spark, d), model_of(spark, d), _languages(model_of(spark, d)), TURN)
+    return identify.reported(found.withColumn("start", F.lit(0))).where("report is not null").select(*TURN, "report")
+
+
+# Two models for each language, as if from two sources: half of its documents each.
+HALVES = O.MODEL.replace("lang as grp", "lang || '/' || (doc_id % 2) as grp")
 
 
-@query(f"{O.MODEL3}{H0}{O.scored('h0', 'doc_id', high=3)} select d.lang, ids.grp as found, count(*) as n from {O.ranked('doc_id')} r join ids using (lang_id) join documents d using (doc_id) where rank = 1 group by all")
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(model, languages)."""
+    key = (spark.sparkContext.applicationId, d, "halves")
+    if key not in _models:
+        docs = _table(spark, d, "documents").where("lang is not null").withColumn("lang", F.concat_ws("/", "lang", F.expr("doc_id % 2")))
+        _models[key] = T.train(docs)
+    model = _models[key]
+    part = lambda k: F.split_part("lang", F.lit("/"), F.lit(k))
+    return model, model.select("lang_id", part(1).alias("language"), F.lit("utf-8").alias("encoding"), part(2).alias("source")).distinct()
+
+
+def _top(ids: str, same: str = "split_part(grp, '/', 1)") -> str:
+    """SQL of the rows shown: of the 6 best the best of each language, and of these 3 at most within the limits."""
+    return f"""(select *, row_number() over (partition by {ids} order by score desc, lang_id) as turn from (
+      select r.*, grp from {O.ranked(ids)} r join ids using (lang_id) where rank <= 6 qualify row_number() over (partition by {ids}, {same} order by score desc, r.lang_id) = 1)
+      where score > cast(0.01 as double) and score >= cast(0.8 as double) * best qualify turn <= 3)"""
+
+
+@query(f"""{HALVES}{H0}{BLOCKS}{O.scored('bl', 'doc_id, start')},
+le as (select doc_id, start, length(hx) // 2 as n_bytes from bl),
+re as (select doc_id, start, string_agg(split_part(grp, '/', 1) || '-utf-8:' || printf('%.6f', score), ' ' order by turn) as langs from {_top('doc_id, start')} group by doc_id, start)
+select doc_id, start, n_bytes, printf('@ %08X-%08X', start, start + n_bytes - 1) || coalesce(' ' || langs, ': no languages detected') as report from le left join re using (doc_id, start)""")
+def langid_report_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every block of every document, the best of each language's models, and the blocks without a language too."""
+    return identify.identify(_table(spark, d, "documents"), *_halves(spark, d), ["doc_id"], IdentifyOptions(verbose=True)).select("doc_id", "start", "n_bytes", "report")
+
+
+@query(f"""{HALVES}{LINES},
+lh as (select doc_id, line_no, hex(encode(bytes)) as hx from ln){O.scored('lh', 'doc_id, line_no')},
+nm as (select r.*, split_part(grp, '/', 1) as name from {O.ranked('doc_id, line_no')} r join ids using (lang_id) where score > cast(0.01 as double) and score >= cast(0.8 as double) * best),
+sh as (select *, row_number() over (partition by doc_id, line_no order by score desc, lang_id) as turn from (select * from nm qualify row_number() over (partition by doc_id, line_no, name order by score desc, lang_id) = 1) qualify turn <= 3)
+select ln.doc_id, ln.line_no, coalesce(langs, '??') || chr(9) || bytes as report from ln left join (select doc_id, line_no, string_agg(name, ',' order by turn) as langs from sh group by doc_id, line_no) using (doc_id, line_no)""")
+def langid_terse_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line with the names of its languages, each name once."""
+    found = identify.identify(_table(spark, d, "documents"), *_halves(spark, d), ["doc_id"], IdentifyOptions(block=1, terse=True))
+    return found.select("doc_id", F.col("start").alias("line_no"), "report")
+
+
+@query(f"""{HALVES}{O.CONV}{O.scored('c', O.TURN)},
+re as (select {O.TURN}, string_agg(split_part(grp, '/', 1) || '-utf-8/' || split_part(grp, '/', 2) || '@UNKNOWN:' || printf('%.6f', score), ' ' order by rank) as langs from {O.ranked(O.TURN)} join ids using (lang_id) where {O.report_where()} group by {O.TURN})
+select c.conv_id, c.turn, c.part, langs as report from c left join re using (conv_id, turn, part) where length(hx) > 0""")
+def langid_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Models that differ in their source alone shown apart, with scripts; each turn as one string."""
+    o = IdentifyOptions(block=0, separate_sources=True, show_script=True)
+    found = identify.shown(turns(spark, d).where("bytes <> ''"), *_halves(spark, d), TURN, o)
+    return identify.reported(found.withColumn("start", F.lit(0)), o).select(*TURN, "report")
+
+
+@query(f"{O.MODEL}{H0}{O.scored('h0', 'doc_id')} select d.lang, ids.grp as found, count(*) as n from {O.ranked('doc_id')} r join ids using (lang_id) join documents d using (doc_id) where rank = 1 group by all")
 def langid_confusion(spark: SparkSession, d: str) -> DataFrame:
     """Label against best language, over all documents."""
-    model, docs = model_of(spark, d, SHORT), _table(spark, d, "documents").where("text is not null")
-    best = score.ranked(score.scores(docs.withColumnRenamed("text", "bytes"), model, ["doc_id", "lang"]), ["doc_id", "lang"]).where("rank = 1")
+    model, docs = model_of(spark, d), _table(spark, d, "documents").where("text is not null")
+    best = identify.best(docs.withColumnRenamed("text", "bytes"), model, ["doc_id", "lang"]).where("lang_id is not null")
     names = model.select("lang_id", F.col("lang").alias("found")).distinct()
     return best.join(F.broadcast(names), "lang_id").groupBy("lang", "found").agg(F.count("*").alias("n"))
 
 
-@query(f"{CONV3} select grp as language, count(*) as n from {O.ranked(O.TURN)} join ids using (lang_id) where rank = 1 group by all")
+@query(f"{FULL} select grp as language, count(*) as n from {O.ranked(O.TURN)} join ids using (lang_id) where rank = 1 group by all")
 def string_counts_by_language(spark: SparkSession, d: str) -> DataFrame:
-    best = score.ranked(_scored(spark, d), TURN).where("rank = 1")
-    return M.string_counts(best, _languages(model_of(spark, d, SHORT)))
+    best = identify.best(turns(spark, d), model_of(spark, d), TURN)
+    return M.string_counts(best, _languages(model_of(spark, d)))
 
 
 FAMILY = "case when lang_id % 2 = 0 then 'even' else 'odd' end"
 
 
 def _families(spark: SparkSession, d: str) -> DataFrame:
-    return _languages(model_of(spark, d, SHORT)).withColumn("language", F.expr(FAMILY))
+    return _languages(model_of(spark, d)).withColumn("language", F.expr(FAMILY))
 
 
-@query(f"{CONV3} select {O.TURN}, {FAMILY} as language, round(sum(score), 6) as score from sc group by all")
+@query(f"{FULL} select {O.TURN}, {FAMILY} as language, round(sum(score), 6) as score from sc group by all")
 def merge_by_name(spark: SparkSession, d: str) -> DataFrame:
     return M.merged_by_name(_scored(spark, d), _families(spark, d), TURN)
 
 
-@query(f"{CONV3} select {O.TURN}, lang_id, {FAMILY} as language, score from sc qualify row_number() over (partition by {O.TURN}, language order by score desc, lang_id) = 1")
+@query(f"{FULL} select {O.TURN}, lang_id, {FAMILY} as language, score from sc qualify row_number() over (partition by {O.TURN}, language order by score desc, lang_id) = 1")
 def dedupe_same_language(spark: SparkSession, d: str) -> DataFrame:
     return score.deduped(_scored(spark, d), _families(spark, d), TURN).select(*TURN, "lang_id", "language", "score")
 
@@ -423,7 +538,7 @@ def bigram_avg_probability(spark: SparkSession, d: str) -> DataFrame:
     return M.bigram_average(turns(spark, d), pairs, TURN)
 
 
-@query(f"""{CONV3},
+@query(f"""{FULL},
 po as (select conv_id, turn, part, row_number() over (partition by conv_id order by turn, part) as pos from c),
 ws as (select sc.*, pos, dense_rank() over (partition by conv_id order by pos) as t, max(score) over (partition by conv_id, pos) as best from sc join po using (conv_id, turn, part)),
 wc as materialized (select *, case when score >= 0.01 then (case when t = 1 then ln(n_bytes) else 2.0 + cast(0.25 as double) * ln(n_bytes) end) * score else 0.0 end as cc from ws),
@@ -433,33 +548,82 @@ from lm a left join (select x.conv_id, x.pos, x.lang_id, sum(y.cc * pow(cast(0.2
 def smoothed_scores(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "part"))
     strings = turns(spark, d).withColumn("pos", place).select("conv_id", "pos", "bytes")
-    found = score.sums(strings, model_of(spark, d, SHORT), ["conv_id", "pos"]).withColumn("score", score.score())
+    found = score.sums(strings, model_of(spark, d), ["conv_id", "pos"]).withColumn("score", score.score())
     return smooth.smoothed(found, ["conv_id"], "pos").select("conv_id", "pos", "lang_id", "smoothed")
 
 
+@query(f"{FULL} select {O.TURN}, count(*) filter (where score > cast(0.01 as double)) as n from sc group by {O.TURN}")
+def nonzero_scores(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.nonzero(_scored(spark, d), TURN)
+
+
+@query(f"{FULL} select {O.TURN}, grp as language, score, cast(row_number() over (partition by {O.TURN} order by grp, lang_id) as int) as place from sc join ids using (lang_id) where score <> 0")
+def scores_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return M.by_name(_scored(spark, d), _languages(model_of(spark, d)), TURN).select(*TURN, "language", "score", "place")
+
+
+@query(f"""{FULL}{O.scored('c', O.TURN, name='nb', bigram_weight=0.0, low=3)}
+select {O.TURN}, lang_id, round(coalesce(a.score, 0) + cast(0.5 as double) * coalesce(b.score, 0), 9) as added, round(coalesce(a.score, 0) - cast(0.5 as double) * coalesce(b.score, 0), 9) as lessened,
+       round(coalesce(a.score, 0) + case when b.score >= cast(0.8 as double) then b.score else 0 end, 9) as thresholded, round(sqrt(2 * a.score), 9) as rooted
+from sc a full join nb b using ({O.TURN}, lang_id)""")
+def score_arithmetic(spark: SparkSession, d: str) -> DataFrame:
+    """Sums and differences of the scores with bigrams and without, and roots of their doubles."""
+    a, b = _scored(spark, d), _scored(spark, d, o=IdentifyOptions(bigram_weight=0.0))
+    key = [*TURN, "lang_id"]
+    out = vectors.add(a, b, TURN, 0.5).withColumnRenamed("score", "added")
+    for name, one in (("lessened", vectors.subtract(a, b, TURN, 0.5)), ("thresholded", vectors.add_thresholded(a, b, TURN, 0.8)), ("rooted", vectors.rooted(vectors.scaled(a, 2.0)))):
+        out = out.join(one.withColumnRenamed("score", name), key, "left")
+    return out.select(*key, *(F.round(c, 9).alias(c) for c in ("added", "lessened", "thresholded", "rooted")))
+
+
+CHARSETS = f"""{O.MODEL},
+en as (select lang_id, case when lang_id % 2 = 0 then 'utf-8' else 'latin-1' end as encoding from ids),
+mm as (select encoding, len, k, quant, lang_id from mo join en using (lang_id)),
+sz as (select encoding, 2 * max(n) as kk from (select encoding, lang_id, count(*) as n from mm group by all) group by encoding),
+me as (select encoding, k, max(quant) as q from mm group by all),
+ch as (select encoding, substr(k, 1, length(k) - 2) as k, max(q) as child from me group by all),
+ok as (select me.encoding, me.k, q from me left join ch on me.encoding = ch.encoding and me.k = ch.k where length(me.k) >= 6 and (coalesce(child, 0) < cast(0.9 as double) * q or (length(me.k) = 6 and coalesce(child, 0) < cast(0.995 as double) * q))),
+mc as materialized (select cast(case when encoding = 'latin-1' then 0 else 1 end as int) as lang_id, cast(length(k) // 2 as int) as len, k, q as quant, false as is_stop from (select ok.*, rank() over (partition by encoding order by q desc) as r from ok) join sz using (encoding) where r <= kk)"""
+
+
+@query(f"{CHARSETS}{O.CONV}{O.scored('c', O.TURN, model='mc')} select {O.TURN}, case lang_id when 0 then 'latin-1' else 'utf-8' end as encoding, score from sc")
+def langid_charset(spark: SparkSession, d: str) -> DataFrame:
+    """Scores under a second database: one merged model for each encoding."""
+    langs = _languages(model_of(spark, d)).withColumn("encoding", F.when(F.col("lang_id") % 2 == 0, "utf-8").otherwise("latin-1"))
+    charsets, model = M.cluster_models(model_of(spark, d), langs)
+    found = score.scores(turns(spark, d), T.kept(model), TURN)
+    return found.join(F.broadcast(charsets.select("lang_id", "encoding")), "lang_id").select(*TURN, "encoding", "score")
+
+
 # ---- descriptors, lists -----------------------------------------------------
 
-_WANTED = ["en_US-ASCII/Wikipedia", "en/Wikipedia", "en-ASCII", "de", "pt_BR", "fr/A-B_C", ""]
+_WANTED = "lang || case when doc_id % 2 = 0 then '_' || upper(lang) else '' end || case when doc_id % 3 = 0 then '-utf-8' else '' end || case when doc_id % 5 = 0 then '/' || source || '-' || doc_id % 3 || '_x' else '' end"
 
 
-@query("select * from (values ('en_US-ASCII/Wikipedia', 'en', 'US', 'ASCII', 'Wikipedia', 'en_US-ASCII'), ('en/Wikipedia', 'en', null, null, 'Wikipedia', 'en'), ('en-ASCII', 'en', null, 'ASCII', null, 'en-ASCII'), ('de', 'de', null, null, null, 'de'), ('pt_BR', 'pt', 'BR', null, null, 'pt_BR'), ('fr/A-B_C', 'fr', null, null, 'A-B_C', 'fr'), ('', null, null, null, null, '')) t(wanted, language, region, encoding, source, shown)")
+@query(f"""select {_WANTED} as wanted, lang as language, case when doc_id % 2 = 0 then upper(lang) end as region, case when doc_id % 3 = 0 then 'utf-8' end as encoding, case when doc_id % 5 = 0 then source || '-' || doc_id % 3 || '_x' end as source,
+       lang || case when doc_id % 2 = 0 then '_' || upper(lang) else '' end || case when doc_id % 3 = 0 then '-utf-8' else '' end as shown from documents""")
 def descriptor_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(w,) for w in _WANTED], "wanted string").withColumn("p", texts.descriptor_parts(F.col("wanted")))
+    """Descriptors put together from the documents' columns, taken apart again and shown."""
+    rows = _table(spark, d, "documents").select(F.expr(_WANTED).alias("wanted")).withColumn("p", texts.descriptor_parts(F.col("wanted")))
     return rows.select("wanted", "p.*").withColumn("shown", texts.descriptor(F.col("language"), F.col("region"), F.col("encoding")))
 
 
-@query("select * from (values ('iso-8859-5', 'Cyrillic'), ('EUC-KR', 'Hangul'), ('Big5', 'Han'), ('iso-8859-11', 'Thai'), ('ASCII', 'Latin'), ('utf-8', 'UNKNOWN'), ('iso-8859-6', 'Arabic'), ('iso-8859-8-i', 'Hebrew'), ('koi8-r', 'Cyrillic')) t(encoding, script)")
+_NAMES = {"iso-8859-5": "Cyrillic", "EUC-KR": "Hangul", "Big5": "Han", "iso-8859-11": "Thai", "ASCII": "Latin", "utf-8": "UNKNOWN", "iso-8859-6": "Arabic", "iso-8859-8-i": "Hebrew", "koi8-r": "Cyrillic"}
+_CASES = " ".join(f"when {k} then '{n}'" for k, n in enumerate(_NAMES))
+
+
+@query(f"select doc_id, enc as encoding, case enc {' '.join(f"when '{n}' then '{v}'" for n, v in _NAMES.items())} end as script from (select doc_id, case doc_id % {len(_NAMES)} {_CASES} end as enc from documents)")
 def guess_script(spark: SparkSession, d: str) -> DataFrame:
-    names = ["iso-8859-5", "EUC-KR", "Big5", "iso-8859-11", "ASCII", "utf-8", "iso-8859-6", "iso-8859-8-i", "koi8-r"]
-    return spark.createDataFrame([(n,) for n in names], "encoding string").withColumn("script", texts.guess_script(F.col("encoding")))
+    rows = _table(spark, d, "documents").select("doc_id", F.expr(f"case doc_id % {len(_NAMES)} {_CASES} end").alias("encoding"))
+    return rows.withColumn("script", texts.guess_script(F.col("encoding")))
 
 
-@query("select * from (values ('en_US-ascii', 0), ('EN-utf8', 1), ('de', 2)) t(wanted, lang_id)")
+@query(f"{HALVES} select 'EN-UTF-8/1' as wanted, lang_id from ids where grp = 'en/1' union all select 'fr/0', lang_id from ids where grp = 'fr/0'")
 def model_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Models found by descriptor; ``en`` alone is ambiguous and ``xx`` unknown, so neither has a row."""
-    langs = store.languages(spark, [Language("en=English", region="US", encoding="ascii"), Language("en", encoding="utf8", source="A", region="GB"), Language("de", encoding="utf8")])
+    """Trained models found by descriptor; ``en`` alone is ambiguous and ``xx`` unknown, so neither has a row."""
+    langs = _halves(spark, d)[1].withColumn("region", F.lit(None).cast("string"))
     out = None
-    for w in ("en_US-ascii", "EN-utf8", "de", "en", "xx"):
+    for w in ("EN-UTF-8/1", "fr/0", "en", "xx"):
         one = texts.unique_model(langs, w).select(F.lit(w).alias("wanted"), "lang_id")
         out = one if out is None else out.unionByName(one)
     return out
@@ -493,10 +657,10 @@ def codepoint_range_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return _shown(freqlist.code_points(spark, "0x410-0x412, 0x416"))
 
 
-@query(f"{O.MODEL3} select lang || chr(9) || cnt || chr(9) || k as value from mo where len = 3")
+@query(f"{O.MODEL} select lang || chr(9) || cnt || chr(9) || k as value from mo")
 def vocabulary_dump(spark: SparkSession, d: str) -> DataFrame:
     """Entries as text, keys in hexadecimal so that every byte can be written."""
-    m = _entries(model_of(spark, d, SHORT)).where("len = 3")
+    m = _entries(model_of(spark, d))
     return m.select(F.concat_ws("\t", "lang", F.col("cnt").cast("string"), "key_hex").alias("value"))
 
 
@@ -571,14 +735,25 @@ def strip_blanks(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", texts.without_blanks(F.col("text")).alias("text"))
 
 
-@query("select * from (values ('Привет, мир', 'Privet, mir'), ('Αθήνα', 'Athī́na'), ('plain', 'plain'), (null, null)) t(text, latin)")
+_LATIN, _CYRILLIC = "abvgdezijklmnoprstufh", "абвгдезийклмнопрстуфх"
+
+
+@query(f"select doc_id, md5(translate(translate(text, '{_LATIN}', '{_CYRILLIC}'), '{_CYRILLIC}', '{_LATIN}')) as digest from documents where text is not null")
 def romanize(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("Привет, мир",), ("Αθήνα",), ("plain",), (None,)], "text string")
-    return rows.withColumn("latin", texts.romanized(F.col("text")))
+    """The documents in Cyrillic letters, romanized."""
+    text = texts.romanized(F.translate("text", _LATIN, _CYRILLIC))
+    return _table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.encode(text, "UTF-8")).alias("digest"))
+
+
+@query("select doc_id, md5(text) as digest from documents where text is not null")
+def utf16_echo(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as 16-bit units and back."""
+    wide = texts.widened(grams.utf8(F.col("text")), texts.Extension.UTF8_BIG)
+    return _table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.encode(texts.from_utf16(wide, True), "UTF-8")).alias("digest"))
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """(conv_id, turn, part, lang, score): every turn's best language under models trained on the documents."""
     model = model_of(spark, d)
-    best = score.ranked(score.scores(turns(spark, d), model, TURN), TURN).where("rank = 1")
+    best = identify.best(turns(spark, d), model, TURN)
     return best.join(F.broadcast(model.select("lang_id", "lang").distinct()), "lang_id").select(*TURN, "lang", "score")

@@ -10,24 +10,29 @@ from __future__ import annotations
 
 import uuid
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import TrainOptions
+from ..config import Language, TrainOptions
 from ..functions.scaling import quantised, scaled
-from ..operators import grams, select
+from ..operators import grams, models, sample, select
+from ..sources import files, freqlist, store
 
 MAX_PREFIXES = 4_000_000
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A result that several steps read: written to the shared folder of the session (spark.checkpoint.dir), or else cached."""
+    """A result that several steps read: written to the shared folder of the session (spark.checkpoint.dir) until it ends, or, where none is set, cached: then a lost executor's part is made again."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not base:
         return df.cache()
     path = f"{base.rstrip('/')}/lingrove-model-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -101,3 +106,52 @@ def train(docs: DataFrame, o: TrainOptions = TrainOptions(), group: str = "lang"
     if o.bigrams:
         longer = longer.unionByName(pairs.where("cnt >= 2").select("grp", "len", "key", "cnt"))
     return kept(finish(longer, totals(texts), o))
+
+
+def limited(docs: DataFrame, o: TrainOptions, order: str, text: str = "text") -> DataFrame:
+    """(line_no, bytes) of the training text under ``limit_bytes``: the first bytes of the lines in ``order``, or whole lines spread over all of them."""
+    lines = files.global_line_numbers(files.lines_of(docs, [order], text), [order, "line_no"]).select("line_no", F.col("bytes").alias("line"))
+    if o.limit_bytes is None:
+        return lines.select("line_no", F.col("line").cast("binary").alias("bytes"))
+    if o.sampled and o.alignment == 1:
+        return sample.training_sample(lines, o.limit_bytes).select("line_no", F.col("line").cast("binary").alias("bytes"))
+    return sample.first_bytes(lines, o.limit_bytes).select("line_no", "bytes")
+
+
+def add_group(langs: DataFrame, ngrams: DataFrame, texts: DataFrame, new: Language, o: TrainOptions = TrainOptions(), related: str | float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One training group, from texts (bytes) to the database with its model: (languages, n-grams, vocabulary lines).
+
+    The model is trained, or, with ``related`` and a model of the same identity in the database, taken from there and replaced. Its coverage of the texts goes with its row.
+    ``related`` (descriptors, or a threshold like ``@0.5``) names the models whose n-grams, where these texts never have them, become its stop-grams;
+    ``o.boost`` raises what none of them has. Vocabulary lines are those of the frequency-list format.
+    """
+    texts = texts.where("bytes is not null").select(F.lit(new.language).alias("grp"), "bytes")
+    total = totals(texts)
+    size = total.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    same = langs.where(F.col("language").eqNullSafe(new.language) & F.col("region").eqNullSafe(new.region) & F.col("encoding").eqNullSafe(new.encoding) & F.col("source").eqNullSafe(new.source)).select("lang_id", "train_bytes").first()
+    if same and related is None:
+        raise ValueError(f"{new.describe()} is there already")
+    if same:
+        at, trained = same.lang_id, same.train_bytes
+        model = ngrams.where((F.col("lang_id") == at) & ~F.col("is_stop"))
+        langs, ngrams = langs.where(F.col("lang_id") != at), ngrams.where(F.col("lang_id") != at)
+    else:
+        at, trained = langs.agg(F.coalesce(F.max("lang_id") + 1, F.lit(0))).first()[0], size
+        longer, pairs = select_ngrams(texts, o)
+        if o.bigrams:
+            longer = longer.unionByName(pairs.where("cnt >= 2").select("grp", "len", "key", "cnt"))
+        model = kept(finish(longer, total, o).withColumn("lang_id", F.lit(at)))
+    cover = models.coverage(texts.withColumnRenamed("grp", "lang"), model.withColumn("lang", F.lit(new.language))).first()
+    row = replace(new, coverage=cover.coverage or 0.0, counted_cover=cover.counted_cover or 0.0, freq_cover=cover.freq_cover or 0.0, match_factor=cover.match_factor or 0.0, train_bytes=trained) if cover else replace(new, train_bytes=trained)
+    langs = langs.unionByName(store.languages(langs.sparkSession, [row]).withColumn("lang_id", F.lit(at)))
+    if related is not None:
+        every = ngrams.unionByName(model.select(*ngrams.columns))
+        pairs = models.selected(models.similarity(every), langs, related, at)
+        confus = kept(models.confusible(every, pairs, langs.select("lang_id", F.col("train_bytes").alias("total")), o.power))
+        longest = confus.agg(F.coalesce(F.max("len"), F.lit(3))).first()[0]
+        seen = models.observed(texts.withColumn("grp", F.lit(str(at))), confus, 2, longest)
+        if confus.count() > models.LEAST_CONFUSIBLE:
+            model = kept(models.with_stop_grams(models.boosted(model, confus, o.boost, o.power), models.stop_grams(confus, seen)))
+    entries = model.select(F.unhex(grams.hex_key(F.col("key"), F.col("len"))).alias("key"), F.when(F.col("is_stop"), models.raw_weight(F.col("scaled"), F.lit(trained))).otherwise(F.col("cnt")).alias("cnt"), "is_stop")
+    head = {"TotalCount": str(size), "Lang": f"{new.language}={new.friendly}"} | {k: v for k, v in (("Region", new.region), ("Encoding", new.encoding), ("Source", new.source)) if v}
+    return langs, ngrams.unionByName(model.select(*ngrams.columns)), freqlist.vocabulary(entries, head)

@@ -26,7 +26,8 @@ def split_lines(text: Column) -> Column:
 
 def lines_of(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """(ids..., line_no, line, bytes): ``bytes`` keeps the line feed, as it is scored."""
-    out = docs.select(*ids, F.col(text).alias("_t")).select(*ids, F.endswith("_t", F.lit("\n")).alias("_end"), F.posexplode(split_lines(F.col("_t"))).alias("line_no", "line"), F.size(split_lines(F.col("_t"))).alias("_n"))
+    cut = docs.select(*ids, F.endswith(text, F.lit("\n")).alias("_end"), split_lines(F.col(text)).alias("_lines"))
+    out = cut.select(*ids, "_end", F.posexplode("_lines").alias("line_no", "line"), F.size("_lines").alias("_n"))
     whole = F.concat("line", F.when((F.col("line_no") + 1 < F.col("_n")) | F.col("_end"), F.lit("\n")).otherwise(""))
     return out.select(*ids, F.col("line_no").cast("bigint").alias("line_no"), "line", whole.alias("bytes"))
 

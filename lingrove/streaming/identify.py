@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import IdentifyOptions
-from ..operators import score
+from ..operators import identify, score
 from ..operators.smooth import Prior
+from ..plans.train import kept
 
 STATE = "langs array<int>, values array<double>, strings bigint"
 
@@ -24,8 +25,11 @@ def scored(strings: DataFrame, model: DataFrame, ids: list[str], o: IdentifyOpti
 def report_to(strings: DataFrame, model: DataFrame, ids: list[str], sink: Callable[[DataFrame, int], None], o: IdentifyOptions = IdentifyOptions()):
     """A stream writer that hands each micro-batch's report to ``sink(batch, batch_id)``; start it with the checkpoint of your choice."""
 
+    model = kept(model)  # of all micro-batches
+    tables = score.tables_of(model, o) if score.sendable(score.used_by(model, o)) else None
+
     def each(batch: DataFrame, number: int) -> None:
-        sink(score.report(score.scores(batch, model, ids, o), ids, o), number)
+        sink(score.report(score.scores(batch, model, ids, o, tables=tables), ids, o), number)
 
     return strings.writeStream.foreachBatch(each)
 
@@ -58,9 +62,8 @@ def smoothed(strings: DataFrame, model: DataFrame, seq: str, order: str, o: Iden
 
 
 def best(strings: DataFrame, model: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions()) -> DataFrame:
-    """(ids..., lang_id, score) of the best language of each string, without a window: ids must be unique within the stream's state."""
-    top = F.max_by(F.struct("lang_id", "score"), F.struct("score", -F.col("lang_id")))
-    return scored(strings, model, ids, o).groupBy(*ids).agg(top.alias("b")).select(*ids, "b.lang_id", "b.score")
+    """(ids..., lang_id, score) of the best language of each string of a stream; null where nothing matches. Without state: each string is scored and ranked by itself."""
+    return identify.best(strings, model, ids, o).select(*ids, "lang_id", "score")
 
 
 def language_counts(stream_of_best: DataFrame) -> DataFrame:
