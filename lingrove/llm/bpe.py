@@ -1,10 +1,11 @@
 """BPE encoding and decoding with a public byte-level vocabulary (operator 2).
 
-A batch's distinct pretokens lie end to end in one array of symbols with links to the next and the previous one. The
+Distinct pretokens lie end to end in one array of symbols with links to the next and the previous one. The
 index maps each mergeable pair, by its rank, to all its positions. The ranks in use are applied in ascending order (a heap):
 all live positions of the pair merge at once, and only the lists of the pairs to their left and right are
-added to; entries that a merge made stale are told by their symbols when their list comes up. Each distinct pretoken is encoded once
-and its ids are gathered for every occurrence.
+added to; entries that a merge made stale are told by their symbols when their list comes up. A worker goes through its partition in pieces of some
+``PIECE`` bytes; the index of a piece has the pretokens that no earlier one had, so each distinct pretoken is encoded once
+and its ids are gathered for every occurrence. Beyond ``Known.LIMIT`` pretokens a worker forgets them and begins anew.
 
 The vocabulary is read from ``vocab_path`` in each Python worker (once); it is never trained and never copied.
 """
@@ -15,6 +16,7 @@ import heapq
 import itertools
 import json
 from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_buffers
+from .common import chunks, fresh, text_buffers
 
+PIECE = 8 << 20
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -156,28 +159,51 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - first, size)
 
 
-class Pretokens:
-    """The pretokens of a batch of texts: distinct ones, and each text's as indices into them."""
+class Known:
+    """The pretokens seen so far, numbered as they came, with the numbers that belong to each (``flat``, cut by ``offs``)."""
 
-    def __init__(self, texts: list[str | None]):
-        split, number = splitter(), defaultdict(itertools.count().__next__)
-        get = number.__getitem__
-        self.of_text = []
+    LIMIT = 400_000
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.make = make
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.flat, self.offs = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's pretokens as numbers; the values of new ones are made."""
+        if len(self.number) > self.LIMIT:
+            self.clear()
+        split, get, old, out = splitter(), self.number.__getitem__, len(self.number), []
         for t in texts:
             found = split(t) if t else []
-            self.of_text.append(np.fromiter(map(get, found), np.int32, len(found)))
-        self.words = list(number)
+            out.append(np.fromiter(map(get, found), np.int32, len(found)))
+        if len(self.number) > old:
+            flat, offs = self.make(list(itertools.islice(self.number, old, None)))
+            self.flat, self.offs = np.r_[self.flat, flat], np.r_[self.offs, offs[1:] + self.offs[-1]]
+        return out
+
+
+_encoders: dict[str, Known] = {}
+
+
+def encoder(path: str = VOCAB) -> Known:
+    if path not in _encoders:
+        v = vocabulary(path)
+        _encoders[path] = Known(lambda words: encode_words([w.encode("utf-8", "surrogatepass") for w in words], v))
+    return _encoders[path]
 
 
-def encode_batch(texts: list[str | None], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(texts: list[str | None], known: Known) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts end to end, offsets)."""
-    pre = Pretokens(texts)
-    ids, offs = encode_words([w.encode("utf-8", "surrogatepass") for w in pre.words], v)
-    size = np.diff(offs)
-    out, lens = [], []
-    for w in pre.of_text:
+    numbers = known.of(texts)
+    size, out, lens = np.diff(known.offs), [], []
+    for w in numbers:
         s = size[w]
-        out.append(ids[_ragged(offs[w], s)])
+        out.append(known.flat[_ragged(known.offs[w], s)])
         lens.append(len(out[-1]))
     return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.r_[0, np.cumsum(lens, dtype=np.int64)]
 
@@ -196,8 +222,9 @@ def _encoder(path: str):
         v = vocabulary(path)
         data, offs, null = text_buffers(col)
         ids, at, same = [], [np.zeros(1, np.int64)], []
-        for a, b in chunks(offs):
-            got, o = encode_batch(col.slice(a, b - a).to_pylist(), v)
+        known = encoder(path)
+        for a, b in chunks(offs, PIECE):
+            got, o = encode_batch(col.slice(a, b - a).to_pylist(), known)
             ids.append(got)
             at.append(o[1:] + at[-1][-1])
             for x, y in chunks(offs[a : b + 1] - offs[a]):
@@ -223,29 +250,44 @@ def encoded(docs: DataFrame, name: str, vocab_path: str = VOCAB) -> DataFrame:
 def encode(docs: DataFrame, vocab_path: str = VOCAB) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip) for every row; ``round_trip``: decoding the ids gives the text's bytes again.
 
-    Whole texts, whatever their length; no shuffle. Repeated rows and null ids: each row by itself. Further columns aren't read.
+    Null text: all null. Empty text: no tokens. Whole texts, whatever their length; no shuffle. Repeated rows and null ids: each row by itself. Further columns aren't read. Empty table: no rows.
     """
     return encoded(docs.select("doc_id", "text"), "s", vocab_path).select("doc_id", "s.*")
 
 
 def with_ids(docs: DataFrame, vocab_path: str = VOCAB) -> DataFrame:
-    """``docs`` with n_tokens and token_ids; columns of these names are replaced."""
-    return encoded(docs, "_lr_bpe", vocab_path).withColumns({"n_tokens": F.col("_lr_bpe.n_tokens"), "token_ids": F.col("_lr_bpe.token_ids")}).drop("_lr_bpe")
+    """``docs`` with n_tokens and token_ids; columns of these names are replaced, all others stay, whatever their names.
+
+    Null text: both null. Empty text: 0 and no ids. Texts are encoded whole, whatever their length. Repeated rows and null ids: each row by itself. Empty table: no rows.
+    """
+    (name,) = fresh(docs, "bpe")
+    return encoded(docs, name, vocab_path).withColumns({"n_tokens": F.col(f"{name}.n_tokens"), "token_ids": F.col(f"{name}.token_ids")}).drop(name)
+
+
+_UNKNOWN = "\ufffd".encode()
 
 
 def _decoder(path: str):
     def run(col: pa.Array) -> pa.Array:
         v = vocabulary(path)
         null = np.asarray(col.is_null())
-        size = np.where(null, 0, np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0)))
-        flat = np.asarray(col.flatten())
-        raw, ends = decode_batch(flat, np.r_[0, np.cumsum(size)], v)
-        blob = raw.tobytes()
-        return pa.array([None if null[i] else blob[ends[i] : ends[i + 1]].decode("utf-8", "replace") for i in range(len(col))], pa.string())
+        size = np.where(null, 0, np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0))).astype(np.int64)
+        flat = col.flatten()
+        # an id that is null or outside the vocabulary is written as U+FFFD
+        ids = np.asarray(pa.compute.fill_null(flat, -1)).astype(np.int64)
+        known = (ids >= 0) & (ids < v.size)
+        lens = np.where(known, v.token_size[np.where(known, ids, 0)], len(_UNKNOWN))
+        ends = np.r_[0, np.cumsum(lens)]
+        raw = np.empty(ends[-1], np.uint8)
+        raw[_ragged(ends[:-1][known], lens[known])] = v.token_bytes[_ragged(v.token_at[ids[known]], lens[known])]
+        raw[(ends[:-1][~known][:, None] + np.arange(len(_UNKNOWN))).ravel()] = np.tile(np.frombuffer(_UNKNOWN, np.uint8), int((~known).sum()))
+        blob, at = raw.tobytes(), ends[np.r_[0, np.cumsum(size)]]
+        return pa.array([None if null[i] else blob[at[i] : at[i + 1]].decode("utf-8", "replace") for i in range(len(col))], pa.string())
 
     return run
 
 
 def decode(tokens: DataFrame, vocab_path: str = VOCAB, ids_col: str = "token_ids", name: str = "text") -> DataFrame:
-    """``tokens`` with the text of a column of id lists; null lists: null. Bytes that aren't UTF-8 become U+FFFD."""
-    return tokens.withColumn(name, F.arrow_udf(_decoder(vocab_path), "string")(F.col(ids_col)))
+    """``tokens`` with the text of a column of id lists. Null list: null; empty list: empty text. An id that is null or not in the vocabulary, and
+    bytes that aren't UTF-8, become U+FFFD. A column called ``name`` is replaced, all others stay. Lists of any length. Empty table: no rows."""
+    return tokens.withColumn(name, F.arrow_udf(_decoder(vocab_path), "string")(F.col(ids_col).cast("array<bigint>")))
