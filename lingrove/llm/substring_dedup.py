@@ -5,7 +5,7 @@ at least ``MIN_SENTENCES`` sentences with ``MIN_WORDS`` words, or ``MIN_WORDS_ON
 such run that begins with a sentence and every shortest such run that ends with one is hashed, so the spans inside a repeated passage cover all of its sentences. Spans are
 joined globally by hash; a sentence covered by any span that isn't the first of its hash, by (doc_id, place), goes.
 
-One shuffle carries the spans (24 bytes each). Within a batch only the first span of a hash needs the global look, as the others are later
+One shuffle carries the spans (29 bytes each). Within a batch only the first span of a hash needs the global look, as the others are later
 copies already; these go along under a key of their own. So a span that a million documents share is a row per batch, not a million rows, at
 one place.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, _powers, chunks, mix, text_buffers
+from .common import U, Rolling, _powers, chunks, mix, strings, text_buffers
 
 MIN_SENTENCES, MIN_WORDS, MIN_WORDS_ONE = 2, 25, 50
 NO_ID = -(1 << 63)  # stands for a null id, which so comes first
@@ -78,8 +78,8 @@ def spans(data: np.ndarray, offs: np.ndarray, min_sentences: int = MIN_SENTENCES
     j = np.arange(1, n + 1)
     back = np.maximum(np.minimum(np.searchsorted(words, words[j] - min_words, "right") - 1, j - min_sentences), np.searchsorted(words, words[j] - min_words_one, "right") - 1)
     ok2 = back >= s.begin[s.row]
-    both = np.unique(np.concatenate([(i[ok] << 8) | (ahead[ok] - i[ok]), (back[ok2] << 8) | (j[ok2] - back[ok2])]))
-    i, size = both >> 8, both & 255
+    both = np.unique(np.concatenate([(i[ok] << 31) | (ahead[ok] - i[ok]), (back[ok2] << 31) | (j[ok2] - back[ok2])]))
+    i, size = both >> 31, both & (1 << 31) - 1
     value = mix((run[i + size] - run[i]) * inv[i] + size.astype(U) * U(0x9FB21C651E98DF25))
     return s.row[i], i - s.begin[s.row[i]], size, value
 
@@ -89,24 +89,23 @@ def _emit(min_sentences: int, min_words: int, min_words_one: int):
         for batch in batches:
             ids, tags = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             data, offs, _ = text_buffers(batch.column(1))
-            doc, where, value = [], [], []
+            doc, tag, where, value = [], [], [], []
             for a, b in chunks(offs):
                 row, place, size, h = spans(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], min_sentences, min_words, min_words_one)
-                if len(place) and place.max() >= 1 << 24:
-                    raise ValueError("a document of more than 2^24 sentences")
                 doc.append(ids[a + row])
-                where.append((tags[a + row] << 32) | (place << 8) | size)
+                tag.append(tags[a + row])
+                where.append((place << 31) | size)
                 value.append(h)
             if not doc:
                 continue
-            doc, where, value = np.concatenate(doc), np.concatenate(where), np.concatenate(value).view(np.int64)
-            order = np.lexsort((where, doc, value))
-            doc, where, value = doc[order], where[order], value[order]
+            doc, tag, where, value = np.concatenate(doc), np.concatenate(tag), np.concatenate(where), np.concatenate(value).view(np.int64)
+            order = np.lexsort((where, tag, doc, value))
+            doc, tag, where, value = doc[order], tag[order], where[order], value[order]
             head = np.r_[True, value[1:] != value[:-1]] if len(value) else np.zeros(0, bool)
             lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            later = (doc != doc[lead]) | (where != where[lead])  # a repeated row is the same place
-            key = np.where(later, mix((doc ^ where * 0x5851F42D).view(U)).view(np.int64), value)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(where), pa.array(later)], names=["k", "doc", "place", "later"])
+            later = (doc != doc[lead]) | (tag != tag[lead]) | (where != where[lead])  # a repeated row is the same place
+            key = np.where(later, mix((doc ^ (where + tag) * 0x5851F42D).view(U)).view(np.int64), value)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(tag.astype(np.int32)), pa.array(where), pa.array(later)], names=["k", "doc", "tag", "place", "later"])
 
     return run
 
@@ -114,10 +113,10 @@ def _emit(min_sentences: int, min_words: int, min_words_one: int):
 def repeated(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, min_words_one: int = MIN_WORDS_ONE) -> DataFrame:
     """(doc, tag, places): by document the spans that aren't the first of their hash; a place holds the first sentence and the number of them."""
     rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text", F.expr("xxhash64(text) & 2147483647").alias("tag"))
-    found = rows.mapInArrow(_emit(min_sentences, min_words, min_words_one), "k bigint, doc bigint, place bigint, later boolean")
-    turn = F.rank().over(Window.partitionBy("k").orderBy("doc", "place"))
+    found = rows.mapInArrow(_emit(min_sentences, min_words, min_words_one), "k bigint, doc bigint, tag int, place bigint, later boolean")
+    turn = F.rank().over(Window.partitionBy("k").orderBy("doc", "tag", "place"))
     gone = found.withColumn("turn", turn).where("later or turn > 1")
-    return gone.groupBy("doc", F.shiftright("place", 32).alias("tag")).agg(F.collect_list("place").alias("places"))
+    return gone.groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
 
 
 def _remove(text: pa.Array, places: pa.Array) -> pa.Array:
@@ -137,10 +136,10 @@ def _remove(text: pa.Array, places: pa.Array) -> pa.Array:
             size.append(np.diff(o))
             continue
         p = flat[at[a] : at[b]]
-        first = s.begin[np.repeat(np.arange(b - a), many[a:b])] + ((p >> 8) & 0xFFFFFF)
+        first = s.begin[np.repeat(np.arange(b - a), many[a:b])] + (p >> 31)
         depth = np.zeros(len(s.row) + 1, np.int32)
         np.add.at(depth, first, 1)
-        np.add.at(depth, first + (p & 255), -1)
+        np.add.at(depth, first + (p & (1 << 31) - 1), -1)
         gone = np.cumsum(depth)[:-1] > 0
         removed[a:b] = np.bincount(s.row[gone], minlength=b - a)
         stop = np.r_[s.piece[1:], len(part)]  # a row without a sentence is left as it is: its bytes belong to no piece
@@ -155,16 +154,17 @@ def _remove(text: pa.Array, places: pa.Array) -> pa.Array:
         size.append(np.diff(kept[o]))
     flat_out = np.concatenate(out).tobytes() if out else b""
     ends = np.r_[0, np.cumsum(np.concatenate(size))] if size else np.zeros(1, np.int64)
-    made = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat_out)]).cast(pa.string())
-    made = pa.compute.if_else(pa.array(null), pa.scalar(None, pa.string()), made)
+    made = strings(text.type, np.frombuffer(flat_out, np.uint8), ends, null)
     return pa.StructArray.from_arrays([made, pa.array(total, mask=null), pa.array(removed, mask=null)], ["text", "n_sentences", "n_removed"])
 
 
 def _cleaned(docs: DataFrame, *limits: int) -> DataFrame:
+    """docs: (doc_id, text)."""
     gone = repeated(docs, *limits).select(F.col("doc").alias("_lr_doc"), F.col("tag").alias("_lr_tag"), F.col("places").alias("_lr_places"))
     on = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == F.col("_lr_doc")) & (F.xxhash64(docs["text"]).bitwiseAND(F.lit(2147483647)) == F.col("_lr_tag"))
     f = F.arrow_udf(_remove, "text string, n_sentences bigint, n_removed bigint")
-    return docs.join(gone, on, "left").withColumn("_lr_made", f(docs["text"], F.col("_lr_places")))
+    # a shuffle at every size: what is repeated grows with the documents
+    return docs.join(gone.hint("merge"), on, "left").withColumn("_lr_made", f(docs["text"], F.col("_lr_places")))
 
 
 def dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, min_words_one: int = MIN_WORDS_ONE) -> DataFrame:
@@ -172,7 +172,7 @@ def dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int =
 
     A sentence goes with the white space after it. Null text: all null. Empty or blank text: as it is, 0 sentences. A text of which nothing is
     left is empty. Rows that repeat id and text are one document: both lose the same. Rows with one id and different texts are told apart. A null id counts as the
-    smallest. Further columns aren't read. Empty table: no rows.
+    smallest; ids are whole numbers. Equal spans tie by (doc_id, place). A text of any length, with any number of sentences, is read whole. Further columns aren't read, so their names can't clash. Empty table: no rows.
     """
     return _cleaned(docs.select("doc_id", "text"), min_sentences, min_words, min_words_one).select("doc_id", "_lr_made.text", "_lr_made.n_sentences", "_lr_made.n_removed")
 
