@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, chunks, fold, mix, text_buffers, words
+from .common import U, Rolling, chunks, fold, fresh, text_buffers, words
 
 CLASSES = ("clean", "low", "toxic")
 SHARES = (0.5, 0.15, 0.35)  # of the training rows
@@ -231,12 +231,14 @@ def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
 def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: float = KEEP) -> DataFrame:
     """(doc_id, p_clean, p_low, p_toxic, is_kept) for every row of ``docs``.
 
-    Kept: p_clean >= ``keep``. A null text, or one without words or n-grams, is judged by the bias alone. Repeated rows and null ids are scored like any row; further columns aren't read.
+    Kept: p_clean >= ``keep``. A null text, or one without words or n-grams, is judged by the bias alone. Repeated rows, equal texts and null ids are scored like any
+    row. Texts are scored whole, whatever their length. Further columns aren't read, so their names can't clash. Empty table: no rows. Without labels of two classes all are kept.
     """
     s = with_scores(docs.select("doc_id", "text"), fit(docs, labels, max_rows), "s")
     return s.select("doc_id", "s.*").withColumn("is_kept", F.col("p_clean") >= keep)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    return with_scores(docs, fit(docs, labels, max_rows), "_lr_scores").where(F.col("_lr_scores.p_clean") >= keep).drop("_lr_scores")
+    """The rows of ``docs`` that the classifier keeps, with all their columns, whatever their names; which are kept: as in ``scores``. Empty table: no rows."""
+    (name,) = fresh(docs, "scores")
+    return with_scores(docs, fit(docs, labels, max_rows), name).where(F.col(f"{name}.p_clean") >= keep).drop(name)

@@ -1,6 +1,8 @@
 """The ten operators against SQL, brute force, exact round trips or held-out accuracy."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -53,7 +55,7 @@ def test_maximal_runs(spark):
     assert at[256].isEmpty()
 
 
-# ---- 2 and 10 ---------------------------------------------------------------
+# 2 and 10
 
 
 @pytest.fixture(scope="module")
@@ -78,8 +80,26 @@ def test_encoding_like_the_library(spark, documents, library):
 def test_decoding(spark, documents):
     back = bpe.decode(bpe.encode(documents), name="back").join(documents.select("doc_id", "text"), "doc_id")
     assert back.where("back <> text").count() == 0
-    df = spark.createDataFrame([([],), (None,)], "token_ids array<int>")
-    assert [r.text for r in bpe.decode(df).collect()] == ["", None]
+    df = spark.createDataFrame([([],), (None,), ([None, 10**9, -1],), (bpe.encode(docs_of(spark, ["ab cd"])).first().token_ids + [None],)], "token_ids array<bigint>")
+    assert [r.text for r in bpe.decode(df.withColumn("text", F.lit("clash"))).collect()] == ["", None, "\ufffd" * 3, "ab cd\ufffd"]
+    assert bpe.decode(df.limit(0)).collect() == []
+
+
+def test_pretokens_are_forgotten_beyond_the_limit(library, monkeypatch):
+    monkeypatch.setattr(bpe.Known, "LIMIT", 3)
+    for known, of in ((bpe.encoder(), lambda t: library.encode(t, add_special_tokens=False).ids),):
+        for text in ("one two three four five", "five six", "one one one", "seven eight nine ten"):
+            assert bpe.encode_batch([text, None, ""], known)[0].tolist() == of(text)
+    counts = token_counts.counter(bpe.VOCAB)
+    for text in ("a  b c d e", "f g  h", "a  b"):
+        assert next(token_counts.batch_counts([text], counts)).tolist() == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(1, len(text) + 1)]
+
+
+def test_large_changes_are_packed():
+    d = np.array([1, -127, 127, 128, 0, -5000, 1 << 40, 3])
+    raw = token_counts.packed(d).tobytes()
+    assert len(raw) == len(d) + 3 * 8 and token_counts.unpacked(raw).tolist() == d.tolist()
+    assert token_counts.prefix_counts(raw).tolist() == np.cumsum(d).tolist()
 
 
 def test_prefix_counts_like_encoding_each_prefix(spark, library):
@@ -99,7 +119,7 @@ def test_prefix_counts_of_the_whole_table(spark, documents, library):
         assert r.half == len(library.encode(r.text[:100], add_special_tokens=False).ids) and r.fits == r.chars_in_512
 
 
-# ---- 3 ----------------------------------------------------------------------
+# 3
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -122,7 +142,61 @@ def test_classifier_does_not_depend_on_the_batch():
         assert quality.probabilities(m, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] == pytest.approx(p)
 
 
-# ---- 4 ----------------------------------------------------------------------
+def plain_features(text, bits):
+    """Buckets of a text's words and character n-grams, one by one."""
+    def one(piece):
+        raw = np.frombuffer(piece, np.uint8)
+        return int(common.Rolling(raw).spans(np.array([0]), np.array([len(raw)]))[0] >> np.uint64(64 - bits))
+
+    words = [w.encode() for w in re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())]
+    found = [one(w) for w in words] + [0] * sum(a == b for a, b in zip(words, words[1:], strict=False))
+    low = text.lower()
+    return found, [one(low[i : i + n].encode()) for n in quality.NGRAMS for i in range(len(low) - n + 1)]
+
+
+def test_logits_like_sums_over_words_and_characters():
+    texts = ["Good words, good Words here", "été à la plage 日本語テキスト", "a", "", "bad bad bad", "né né! ok"]
+    m = quality.train([t.encode() for t in texts] * 3, [0, 1, 2, 0, 1, 2] * 3, bucket_bits=12)
+    raw = [t.encode() for t in texts]
+    got = quality.logits(m, np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    for t, z in zip(texts, got, strict=True):
+        words, grams = plain_features(t, 12)
+        want = m.bias + m.table[words].sum(axis=0) / max(1, len(words)) + m.table[[(1 << 12) + g for g in grams]].sum(axis=0) / max(1, len(grams))
+        assert z == pytest.approx(want, abs=1e-5)
+
+
+# 4
+
+
+@pytest.mark.parametrize("shift", [0.0, 1.5])
+def test_planted_vectors_are_found(spark, shift):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((1500, 64)) + shift
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.standard_normal(base.shape)
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    twin = 0.955 * base + np.sqrt(1 - 0.955**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    crowd = base[:1] + rng.standard_normal((300, 64)) * 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([base, twin, crowd]))]
+    got = {r.vec_id: r.group_id for r in embedding_dedup.groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    x = np.vstack([base, twin, crowd]).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = list(zip(*np.nonzero(np.triu(x @ x.T >= embedding_dedup.MIN_COSINE, 1)), strict=True))
+    want = brute.components(range(len(x)), near)
+    assert len(near) > 1500 and all(want[i] == want[g] for i, g in got.items())
+    assert sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+    assert sum(got[i] == got[1500 + i] for i in range(1500)) >= 0.9 * 1500
+    assert len({got[3000 + i] for i in range(300)}) == 1
+
+
+def test_company_by_chance_stays_the_same():
+    rng, company = np.random.default_rng(3), []
+    for n in (2_000, 20_000, 100_000):
+        x = embedding_dedup._unit(rng.standard_normal((n, 64)))
+        index = embedding_dedup.fit(x[:1500], embedding_dedup.width_of(n), steps=5)
+        keys = index.keys(x)
+        company.append(sum((np.unique(keys[:, t], return_counts=True)[1] ** 2).sum() - n for t in range(index.tables)) / n)
+    assert max(company) < 12 and company[2] < 2 * company[0]
 
 
 def test_embedding_groups_like_all_pairs(spark):
@@ -137,7 +211,7 @@ def test_embedding_groups_like_all_pairs(spark):
     assert not near or sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
 
 
-# ---- 5 ----------------------------------------------------------------------
+# 5
 
 
 def test_repeated_passages_go_and_the_rest_stays(spark):
@@ -148,22 +222,30 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
     assert got == {0: texts[0], 1: own[1] + "The end.", 2: texts[2], 3: ""}
 
 
-# ---- 6 ----------------------------------------------------------------------
+def test_spans_of_many_sentences(spark):
+    text = " ".join(f"w{i}." for i in range(300)) + " "
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(docs_of(spark, [text, "Own words here. " + text]), 300, 300, 300).collect()}
+    assert got == {0: 0, 1: 300}
 
 
-def test_mixing_like_a_queue(spark):
+# 6
+
+
+@pytest.mark.parametrize("range_rows", [50_000, 7])
+def test_mixing_like_a_queue(spark, range_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
     rng = random.Random(4)
     texts = [" ".join("w" for _ in range(rng.randrange(0, 40))) for _ in range(300)]
     sources = [rng.choice("abc") for _ in texts]
     weights = {"a": 3.0, "b": 0.5}
-    key = lambda i: (((i % 2147483647 + 2147483647 + mixing.SEED) % 2147483647) * 1103515245 + 12345) % 2147483648
+    key = lambda i: int(hashlib.md5(f"{i}:{mixing.SEED}".encode()).hexdigest()[:8], 16)
     want = brute.mix([(i, s, len(t.split())) for i, (t, s) in enumerate(zip(texts, sources, strict=True))], weights, 0.4, key)
     docs = docs_of(spark, texts, sources)
     assert [r.doc_id for r in mixing.mix(docs, weights, budget_share=0.4).collect()] == want
     assert {r.doc_id for r in mixing.keep_mix(docs, weights, budget_share=0.4).collect()} == set(want)
 
 
-# ---- 7 ----------------------------------------------------------------------
+# 7
 
 
 def prints_of(docs):
@@ -215,7 +297,7 @@ def test_recursion_keeps_recall():
     assert len(np.unique(label)) >= 1500
 
 
-# ---- 8 ----------------------------------------------------------------------
+# 8
 
 
 def test_scores_like_a_dictionary(spark):
@@ -227,7 +309,39 @@ def test_scores_like_a_dictionary(spark):
         assert got[i].log2_prob == pytest.approx(w, abs=1e-6) and got[i].bits_per_byte == pytest.approx(-w / len(texts[i]))
 
 
-# ---- 9 ----------------------------------------------------------------------
+# 9
+
+
+def plain_signature(text, bins, bits, width):
+    """Bins of the least shingle hash, empty ones filled from their donors, one by one."""
+    def span(piece):
+        raw = np.frombuffer(piece, np.uint8)
+        return common.Rolling(raw).spans(np.array([0]), np.array([len(raw)]))
+
+    words = [span(w.encode()) for w in re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())]
+    table = {}
+    for i in range(max(1, len(words) - width + 1) if words else 0):
+        h = words[i]
+        for w in words[i + 1 : i + width]:
+            h = common.mix(h * np.uint64(0x9FB21C651E98DF25) + w)
+        h = int(common.mix(h)[0])
+        b = (h >> 32) * bins >> 32
+        table[b] = min(table.get(b, 1 << 32), h & 0xFFFFFFFF)
+    donors, out = fingerprints._donors(bins, 4096), []
+    for b in range(bins if table else 0):
+        at = b if b in table else next(int(d) for d in donors[b] if int(d) in table)
+        out.append(int(common.mix(np.array([table[at]], np.uint64))[0]) & ((1 << bits) - 1))
+    return out
+
+
+@pytest.mark.parametrize("bins, bits, width", [(128, 8, 3), (64, 4, 2), (32, 1, 1)])
+def test_signatures_bin_by_bin(spark, bins, bits, width):
+    rng = random.Random(bins)
+    texts = ["", "!!", "one", "one two", "Été à la plage", *(" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 200))) for _ in range(30))]
+    for r in fingerprints.fingerprints(docs_of(spark, texts), bins, bits, width).collect():
+        want = plain_signature(texts[r.doc_id], bins, bits, width)
+        assert (r.signature is None) == (not want)
+        assert not want or fingerprints.unpack(bytes(r.signature), bins, bits).tolist() == want
 
 
 def test_fingerprints_estimate_jaccard(spark):
@@ -253,10 +367,10 @@ def test_estimate_in_the_jvm(spark, documents):
         assert r.e == pytest.approx(fingerprints.estimate(bytes(r.signature), bytes(r.other)))
 
 
-# ---- nulls, empty and long texts, ties, repeated rows, clashing columns ------
+# nulls, empty and long texts, ties, repeated rows, clashing columns
 
 HARD = [(1, "one two three. four five six.\nseven", "a"), (1, "one two three. four five six.\nseven", "a"), (1, "another text under the same id", None), (None, "no id here", "a"), (2, None, "b"), (3, "", "b"), (4, " \n\t ", "b"), (5, "word " * 60_000, "c"), (6, "...", None), (7, "日本語 " * 50, "c"), (None, None, None)]
-CLASH = ["rank", "k", "h", "id", "doc", "s", "tag", "n_tokens", "root", "node", "list", "v", "code", "finish", "r"]
+CLASH = ["_lr_doc", "_lr_tag", "_lr_made", "_lr_runs", "_lr_source", "_lr_last", "_lr_scores", "_lr_bpe", "_lr_gone", "_lr_id", "_lr_c", "rank", "k", "h", "id", "doc", "s", "tag", "n_tokens", "root", "node", "list", "v", "code", "finish", "r"]
 
 
 def hard(spark, empty=False):
@@ -291,12 +405,29 @@ def test_hard_rows(spark, name):
         assert all(v is None for c, v in null.items() if c != "doc_id")
 
 
-@pytest.mark.parametrize("keep", [line_dedup.keep_lines, simhash.keep_one, mixing.keep_mix, bpe.with_ids, lambda df: quality.keep_clean(df, labels(df.sparkSession))])
-def test_stages_keep_all_columns(spark, keep):
+KEPT = {  # what a stage keeps of the hard rows, by (id, text)
+    "line_dedup": lambda rows: rows,
+    "simhash": lambda rows: rows,
+    "mixing": None,
+    "bpe": lambda rows: rows,
+    "quality": None,
+}
+
+
+@pytest.mark.parametrize("name, keep", [("line_dedup", line_dedup.keep_lines), ("simhash", simhash.keep_one), ("mixing", mixing.keep_mix), ("bpe", bpe.with_ids), ("quality", lambda df: quality.keep_clean(df, labels(df.sparkSession)))])
+def test_stages_keep_all_columns(spark, name, keep):
     df = hard(spark)
     got = keep(df)
     assert set(df.columns) <= set(got.columns)
-    assert got.count() <= len(HARD)
+    rows = got.collect()
+    assert all(r[c] == c for r in rows for c in CLASH if not (name == "bpe" and c == "n_tokens"))
+    texts = sorted(((r.doc_id, r.text) for r in rows), key=repr)
+    every = sorted(((i, t) for i, t, _ in HARD), key=repr)
+    if KEPT[name]:
+        assert texts == KEPT[name](every)
+    else:
+        assert set(texts) <= set(every) and len(texts) <= len(every)
+        assert texts.count(HARD[0][:2]) in (0, 2)  # repeated rows go together
     assert keep(hard(spark, empty=True)).count() == 0
 
 

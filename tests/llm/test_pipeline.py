@@ -1,6 +1,10 @@
 """Each stage of the pipeline against brute force on its own input."""
 
+import hashlib
+
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lingrove.llm import bpe, common, mixing, quality, simhash
 from tests.conftest import DATA
 from tests.llm import brute
@@ -32,7 +36,7 @@ def test_stages(spark):
     missed = sum(a in stay and b in stay for a, b in near)
     assert missed <= 0.1 * len(near)
 
-    key = lambda i: (((i % 2147483647 + 2147483647 + mixing.SEED) % 2147483647) * 1103515245 + 12345) % 2147483648
+    key = lambda i: int(hashlib.md5(f"{i}:{mixing.SEED}".encode()).hexdigest()[:8], 16)
     rows = [(r.doc_id, r.source, len(r.text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ")) - r.text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ").count("")) for r in one.collect()]
     assert {r.doc_id for r in mixed.collect()} == set(brute.mix(rows, {}, mixing.BUDGET_SHARE, key))
 
@@ -51,3 +55,17 @@ def test_run_is_the_stages_one_after_another(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.written(stage(spark, docs, DATA))
     assert got == {(r.doc_id, tuple(r.token_ids)) for r in docs.collect()}
+
+
+def test_run_on_hard_rows(spark, tmp_path):
+    from tests.llm.test_operators import HARD, hard, labels
+
+    for name, empty in (("hard", False), ("empty", True)):
+        d = f"{tmp_path}/{name}"
+        docs = hard(spark, empty).drop("n_tokens").withColumn("n_chars", F.length("text").cast("bigint"))
+        docs.write.parquet(f"{d}/documents.parquet")
+        labels(spark, empty).write.parquet(f"{d}/labels.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert (not got) == empty
+        assert {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, _ in HARD}
+        assert all((r.token_ids is None) == (r.text is None) and (r.text is None or r.n_tokens == len(r.token_ids)) for r in got)

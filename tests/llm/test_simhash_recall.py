@@ -41,3 +41,29 @@ def test_recall_of_a_split_list_at_the_largest_distance():
         a, b = simhash.search_list(fp, simhash.MAX_BITS, 0.9, np.random.default_rng(seed), small=600)
         found += len({(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} & {(i, i + 1500) for i in range(1500)})
     assert found / 6000 >= 0.9
+
+
+def test_lists_that_shrink_are_split_down_to_small_ones():
+    fp, depth = planted(15_000, 8), []
+    a, b = simhash.search_list(fp, simhash.MAX_BITS, 0.9, np.random.default_rng(2), small=256, depth=depth)
+    found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert max(level for level, _ in depth) >= 3 and max(size for _, size in depth) <= 2 * 256
+    label = np.arange(30_000)
+    from lingrove.llm.common import local_stars
+
+    label = local_stars(30_000, a, b)
+    assert (label[:15_000] == label[15_000:]).mean() >= 0.9 and found
+
+
+def test_a_crowd_is_compared_as_it_is():
+    rng = np.random.default_rng(4)
+    fp = np.tile(rng.integers(0, 1 << 63, 4).astype(np.uint64), (20_000, 1))
+    for _ in range(10):
+        bit = rng.integers(0, 256, 20_000)
+        fp[np.arange(20_000), bit // 64] ^= np.uint64(1) << (bit % 64).astype(np.uint64)
+    depth = []
+    a, b = simhash.search_list(fp, simhash.MAX_BITS, 0.9, rng, depth=depth)
+    assert depth == [(1, 20_000)] and len(a) < 40_000
+    from lingrove.llm.common import local_stars
+
+    assert (local_stars(20_000, a, b) == 0).all()
