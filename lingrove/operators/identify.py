@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..config import IdentifyOptions
@@ -99,7 +99,9 @@ def shown(strings: DataFrame, model: DataFrame, languages: DataFrame, ids: list[
         return sized.withColumn("shown", F.arrow_udf(run, SHOWN)(scored_bytes))
     found = score.sums(strings.withColumn("bytes", scored_bytes), model, ids, o, align).withColumn("score", score.score(o))
     if o.smooth:
-        found = smooth.smoothed(found, [c for c in ids if c != order], order).select(*ids, "lang_id", F.col("smoothed").alias("score"))
+        seq = [c for c in ids if c != order]
+        place = strings.select(*ids).withColumn("_pos", F.row_number().over(Window.partitionBy(*seq).orderBy(order)))
+        found = smooth.smoothed(found.join(place, ids), seq, "_pos", numbered=True).select(*ids, "lang_id", F.col("smoothed").alias("score"))
     lists = found.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("lang_id", "score"))).alias("all"))
 
     def cut(col: pa.Array) -> pa.Array:

@@ -59,27 +59,8 @@ def first_bytes(lines: DataFrame, limit: int, order: str = "line_no") -> DataFra
     return summed.where(room > 0).withColumn("bytes", F.when(room < F.col("_size"), F.substring(b, F.lit(1), room.cast("int"))).otherwise(b)).drop("_size", "_sum")
 
 
-def greedy_bytes(lines: DataFrame, n: int, by: str) -> DataFrame:
-    """Takes a line whenever the bytes taken so far are no more than rate * bytes seen so far, rate = (n + 1) / all bytes; within each ``by``.
-
-    Each choice depends on the ones before it, so a group's lengths are folded in order; groups run in parallel.
-    """
-    rows = lines.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("line_no", F.octet_length("line").cast("bigint").alias("size")))).alias("ls"))
-    rate = F.lit(float(n + 1)) / F.aggregate("ls", F.lit(0).cast("bigint"), lambda s, x: s + x.size)
-    rows = rows.withColumn("_rate", rate)
-    start = F.struct(F.lit(0).cast("bigint").alias("got"), F.lit(0).cast("bigint").alias("seen"), F.array().cast("array<boolean>").alias("picks"))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = acc.got <= acc.seen * F.col("_rate")
-        return F.struct((acc.got + F.when(take, x.size).otherwise(F.lit(0).cast("bigint"))).alias("got"), (acc.seen + x.size).alias("seen"), F.concat(acc.picks, F.array(take)).alias("picks"))
-
-    picks = F.aggregate("ls", start, step).picks
-    zipped = F.arrays_zip(F.transform("ls", lambda x: x.line_no).alias("line_no"), picks.alias("selected"))
-    return rows.select(by, F.explode(zipped).alias("z")).select(by, F.col("z.line_no").alias("line_no"), F.col("z.selected").alias("selected"))
-
-
-def greedy_stream(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
-    """``greedy_bytes`` over the whole stream of lines, as the reference has it: about n bytes in all.
+def greedy_bytes(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
+    """(order, selected): takes a line whenever the bytes taken so far are no more than rate * bytes seen so far, rate = (n + 1) / all bytes; about n bytes in all.
 
     Each choice depends on all before it, so the lengths (not the texts) pass through one task in order.
     """
@@ -101,7 +82,14 @@ def greedy_stream(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame
 
 def random_lines(lines: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n lines without replacement, by a hash of their number and the seed (the same for the same seed); all when n is larger. In line order."""
-    return lines.orderBy(F.xxhash64("line_no", F.lit(seed)), "line_no").limit(n).orderBy("line_no")
+    key = F.md5(F.concat_ws(":", F.col("line_no").cast("string"), F.lit(str(seed))).cast("binary"))
+    return lines.orderBy(key, "line_no").limit(n).orderBy("line_no")
+
+
+def write_both(lines: DataFrame, chosen: str, rejected: str) -> None:
+    """The lines that are ``selected`` as text in one folder, the others in another."""
+    lines.where("selected").select("line").write.mode("overwrite").text(chosen)
+    lines.where("not coalesce(selected, false)").select("line").write.mode("overwrite").text(rejected)
 
 
 def training_rate(n: float, total: int) -> float:
@@ -114,9 +102,10 @@ def training_rate(n: float, total: int) -> float:
 
 
 def training_sample(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
-    """``lines`` that are ``selected`` for training: whole lines, evenly spread, of ``n`` bytes or a little more; all where there are no more.
+    """``lines`` that are ``selected`` for training: whole lines, evenly spread, ``n`` bytes at least; all where there are no more.
 
-    A sample that comes out short is drawn again for more bytes, in proportion to what lacked.
+    Longer lines are likelier to be taken, so that lines of very different lengths give more than n bytes. A sample that comes out short is drawn again for
+    more bytes, in proportion to what lacked.
     """
     size = F.octet_length("line").cast("bigint")
     total = lines.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]

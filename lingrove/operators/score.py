@@ -101,6 +101,30 @@ def _scorer(tables: _Tables, n_ids: int, lengths: range):
     return run
 
 
+def _string_grams(n_ids: int, lengths: range):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = grams.buffers(batch.column(n_ids))
+            names = [batch.schema.names[k] for k in range(n_ids)] + ["n_bytes", "len", "key", "most", "n"]
+            for a, b in grams.pieces(offs, 1 << 20):
+                o = offs[a : b + 1] - offs[a]
+                for size in lengths:
+                    key, start = grams.keys(data[offs[a] : offs[b]], o, size)
+                    if not len(key):
+                        continue
+                    row = np.searchsorted(o, start, "right") - 1
+                    most = _MAX_ALIGN[(start - o[row]) % 4]
+                    order = np.lexsort((most, key, row))
+                    row, key, most = row[order], key[order], most[order]
+                    at = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (most[1:] != most[:-1])])
+                    n = np.diff(np.r_[at, len(row)])
+                    row = row[at]
+                    ids = [batch.column(k).slice(a, b - a).take(pa.array(row)) for k in range(n_ids)]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(np.diff(o)[row]), pa.array(np.full(len(row), size, np.int32)), pa.array(key[at]), pa.array(most[at].astype(np.int32)), pa.array(n)], names=names)
+
+    return run
+
+
 def sendable(model: DataFrame) -> bool:
     """Whether a model's entries may be sent to the tasks: at most ``MAX_MODEL_ROWS``, some 40 bytes each in the driver."""
     return model.count() <= MAX_MODEL_ROWS
@@ -129,12 +153,14 @@ def sums(strings: DataFrame, model: DataFrame, ids: list[str], o: IdentifyOption
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strings.select(*ids).schema)
         cols = ", ".join(f"s{n} bigint, p{n} bigint" for n in lengths)
         return strings.mapInArrow(_scorer(tables, len(ids), lengths), f"{kinds}, n_bytes bigint, lang_id int, {cols}")
-    b = strings.withColumn("b", F.encode("bytes", "UTF-8") if dict(strings.dtypes)["bytes"] == "string" else F.col("bytes")).drop("bytes").withColumn("n_bytes", F.octet_length("b").cast("bigint"))
-    found = grams.exploded(b, o.lengths().start, 8).withColumn("key", grams.packed(F.col("key_hex")))
+    # the n-grams of each string, counted, by key; those of one alignment class together
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strings.select(*ids).schema)
+    found = strings.mapInArrow(_string_grams(len(ids), range(o.lengths().start, 9)), f"{kinds}, n_bytes bigint, len int, key bigint, most int, n bigint")
     align = F.create_map(*[x for i, a in (alignments or {}).items() for x in (F.lit(i), F.lit(a))]) if alignments else None
     hit = found.join(used.select("len", "key", "lang_id", "is_stop", "quant"), ["len", "key"])
     if align is not None:
-        hit = hit.where(F.coalesce(align[F.col("lang_id")], F.lit(1)) <= F.element_at(F.array(*map(F.lit, (4, 1, 2, 1))), F.col("start") % 4 + 1))
+        hit = hit.where(F.coalesce(align[F.col("lang_id")], F.lit(1)) <= F.col("most"))
+    hit = hit.withColumn("quant", F.col("quant") * F.col("n"))
     cells = [F.coalesce(F.sum(F.when((F.col("len") == n) & (F.col("is_stop") == F.lit(c == "p")), F.col("quant"))), F.lit(0)).cast("bigint").alias(f"{c}{n}") for n in lengths for c in "sp"]
     return hit.groupBy(*ids, "n_bytes", "lang_id").agg(*cells)
 

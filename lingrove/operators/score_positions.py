@@ -7,15 +7,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import grams
+from .score import MAX_MODEL_ROWS
 
 
 def covered(strings: DataFrame, model: DataFrame) -> DataFrame:
     """(lang, total, covered, matched, matches, freq), one row per batch and language; strings: (lang, bytes); model: (lang, len, key, cnt).
 
-    The model is k n-grams for each language and goes to the tasks.
+    A language's model goes to the tasks with those of others, as many as make up ``MAX_MODEL_ROWS`` entries; each language needs its own alone.
     """
+    groups, room = [[]], MAX_MODEL_ROWS
+    for r in model.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect():  # a row for each model
+        if groups[-1] and r.n > room:
+            groups.append([])
+            room = MAX_MODEL_ROWS
+        groups[-1].append(r.lang)
+        room -= r.n
+    out = None
+    for langs in groups:
+        one = _covered(strings.where(F.col("lang").isin(langs)) if len(groups) > 1 else strings, model.where(F.col("lang").isin(langs)) if len(groups) > 1 else model)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _covered(strings: DataFrame, model: DataFrame) -> DataFrame:
     rows = model.select("lang", "len", "key", "cnt").toPandas()
     tables = {}
     for (lang, n), t in rows.groupby(["lang", "len"]):

@@ -17,13 +17,14 @@ DECAY, UNSURE, ZERO = 0.25, 1.2, 0.01
 FRAME = 30
 
 
-def smoothed(scored: DataFrame, seq: list[str], order: str, frame: int = FRAME) -> DataFrame:
+def smoothed(scored: DataFrame, seq: list[str], order: str, frame: int = FRAME, numbered: bool = False) -> DataFrame:
     """Adds ``smoothed``; scored: (seq..., order, lang_id, n_bytes, score), ``order`` a whole number.
 
-    The first string of a sequence keeps its scores. A language without a row for a string has score 0 there, and gets none.
+    The first string of a sequence keeps its scores. A language without a row for a string has score 0 there, and gets none. ``numbered``: ``order`` numbers the strings
+    from 1, so that those without any row count as a step too, in which the prior decays.
     """
     by = Window.partitionBy(*seq)
-    at = scored.withColumn("_t", F.dense_rank().over(by.orderBy(order)))
+    at = scored.withColumn("_t", F.col(order).cast("int") if numbered else F.dense_rank().over(by.orderBy(order)))
     at = at.withColumn("_best", F.max("score").over(Window.partitionBy(*seq, order)))
     size = F.col("n_bytes").cast("double")
     w = F.when(F.col("_t") == 1, F.log(size)).otherwise(2.0 + 0.25 * F.log(size))

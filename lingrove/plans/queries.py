@@ -540,7 +540,7 @@ def bigram_avg_probability(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{FULL},
 po as (select conv_id, turn, part, row_number() over (partition by conv_id order by turn, part) as pos from c),
-ws as (select sc.*, pos, dense_rank() over (partition by conv_id order by pos) as t, max(score) over (partition by conv_id, pos) as best from sc join po using (conv_id, turn, part)),
+ws as (select sc.*, pos, pos as t, max(score) over (partition by conv_id, pos) as best from sc join po using (conv_id, turn, part)),
 wc as materialized (select *, case when score >= 0.01 then (case when t = 1 then ln(n_bytes) else 2.0 + cast(0.25 as double) * ln(n_bytes) end) * score else 0.0 end as cc from ws),
 lm as (select *, greatest(cast(0.0 as double), cast(0.5 as double) * cbrt(n_bytes) + cast(0.3 as double) * pow(greatest(cast(0.0 as double), best) / cast(1.2 as double), cast(1.33 as double))) as w from wc)
 select a.conv_id, a.pos, a.lang_id, round(case when a.t = 1 then a.score else a.w / (1 + a.w) * a.score + (1 - a.w / (1 + a.w)) * coalesce(p.prior, 0) end, 6) as smoothed
@@ -549,7 +549,7 @@ def smoothed_scores(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "part"))
     strings = turns(spark, d).withColumn("pos", place).select("conv_id", "pos", "bytes")
     found = score.sums(strings, model_of(spark, d), ["conv_id", "pos"]).withColumn("score", score.score())
-    return smooth.smoothed(found, ["conv_id"], "pos").select("conv_id", "pos", "lang_id", "smoothed")
+    return smooth.smoothed(found, ["conv_id"], "pos", numbered=True).select("conv_id", "pos", "lang_id", "smoothed")
 
 
 @query(f"{FULL} select {O.TURN}, count(*) filter (where score > cast(0.01 as double)) as n from sc group by {O.TURN}")
@@ -699,18 +699,15 @@ def sample_first_bytes(spark: SparkSession, d: str) -> DataFrame:
     return sample.first_bytes(_lines(spark, d), 100_000).select("line_no", F.octet_length("bytes").alias("n_bytes"))
 
 
-@query()
+@query(f"""{ALL_LINES.replace("with ", "with recursive ", 1)}, tl as (select sum(size) as total from al),
+st as (select 0 as line_no, true as selected, size as got, size as seen from al where line_no = 0
+  union all select a.line_no, s.got <= s.seen * (cast(501.0 as double) / total), s.got + case when s.got <= s.seen * (cast(501.0 as double) / total) then a.size else 0 end, s.seen + a.size from st s join al a on a.line_no = s.line_no + 1, tl)
+select cast(line_no as bigint) as line_no, selected from st""")
 def sample_greedy_bytes(spark: SparkSession, d: str) -> DataFrame:
-    lines = files.lines_of(_table(spark, d, "documents"), ["doc_id"]).select("doc_id", "line_no", "line")
-    return sample.greedy_bytes(lines, 500, "doc_id")
-
-
-@query()
-def sample_greedy_stream(spark: SparkSession, d: str) -> DataFrame:
-    return sample.greedy_stream(_lines(spark, d), 500)
+    return sample.greedy_bytes(_lines(spark, d), 500)
 
 
-@query()
+@query(f"{ALL_LINES} select line_no, line from al order by md5(line_no || ':1'), line_no limit 500")
 def sample_random(spark: SparkSession, d: str) -> DataFrame:
     return sample.random_lines(_lines(spark, d), 500, seed=1)
 

@@ -72,7 +72,8 @@ def _extended(texts: DataFrame, model: DataFrame, low: int, high: int, o: TrainO
         out = grams.counts(texts, low, high, o.alignment)
         out = out.join(heads, F.col("grp").eqNullSafe(F.col("_g")) & (grams.prefix(F.col("key"), F.col("len"), low - 1) == F.col("_k")), "left_semi")
     if o.skip_newlines:
-        out = out.where(~grams.hex_key(F.col("key"), F.col("len")).rlike(f"^(..){{{o.min_length - 1},}}(0A|0D)"))
+        ends = "0A|0D|00" if o.alignment == 1 else "0A|0D"
+        out = out.where(~grams.hex_key(F.col("key"), F.col("len")).rlike(f"^(..){{{low - 1},}}({ends})"))
     return out
 
 
@@ -145,8 +146,9 @@ def add_group(langs: DataFrame, ngrams: DataFrame, texts: DataFrame, new: Langua
     row = replace(new, coverage=cover.coverage or 0.0, counted_cover=cover.counted_cover or 0.0, freq_cover=cover.freq_cover or 0.0, match_factor=cover.match_factor or 0.0, train_bytes=trained) if cover else replace(new, train_bytes=trained)
     langs = langs.unionByName(store.languages(langs.sparkSession, [row]).withColumn("lang_id", F.lit(at)))
     if related is not None:
-        every = ngrams.unionByName(model.select(*ngrams.columns))
-        pairs = models.selected(models.similarity(every), langs, related, at)
+        every = kept(ngrams.unionByName(model.select(*ngrams.columns)))
+        langs = langs.sparkSession.createDataFrame(langs.collect(), store.LANGUAGES)  # a row for each model
+        pairs = kept(models.selected(kept(models.similarity(every)), langs, related, at))
         confus = kept(models.confusible(every, pairs, langs.select("lang_id", F.col("train_bytes").alias("total")), o.power))
         longest = confus.agg(F.coalesce(F.max("len"), F.lit(3))).first()[0]
         seen = models.observed(texts.withColumn("grp", F.lit(str(at))), confus, 2, longest)

@@ -52,10 +52,13 @@ def full_file(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     return docs.select(*ids, F.substring(F.encode(text, "UTF-8"), 1, FULL_FILE).alias("bytes"))
 
 
-def global_line_numbers(lines: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``line_no`` over the whole table, from 0, in ``order``: lines are counted by the first order column, counts run up, rows number within."""
+def global_line_numbers(lines: DataFrame, order: list[str], width: int = 65536) -> DataFrame:
+    """Adds ``line_no`` over the whole table, from 0, in ``order``, whose first column is a whole number (a document's): lines are counted by document, counts are
+    added up over ranges of ``width`` numbers, the ranges' sums run up, then the documents' within their range, and lines number within their document."""
     head = order[0]
-    n = lines.groupBy(head).agg(F.count("*").alias("_n"))
-    n = n.select(F.col(head).alias("_h"), (F.sum("_n").over(Window.orderBy(head)) - F.col("_n")).alias("_before"))
+    n = lines.groupBy(head).agg(F.count("*").alias("_n")).withColumn("_r", F.floor(F.col(head) / width))
+    ranges = n.groupBy("_r").agg(F.sum("_n").alias("_s")).select(F.col("_r").alias("_rr"), (F.sum("_s").over(Window.orderBy("_r")) - F.col("_s")).alias("_start"))
+    within = F.sum("_n").over(Window.partitionBy("_r").orderBy(head).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    n = n.withColumn("_within", within).join(ranges, F.col("_r").eqNullSafe(F.col("_rr"))).select(F.col(head).alias("_h"), (F.col("_start") + F.col("_within")).alias("_before"))
     own = F.row_number().over(Window.partitionBy(head).orderBy(*order)) - 1
-    return lines.join(n, F.col(head) == F.col("_h")).withColumn("line_no", (F.col("_before") + own).cast("bigint")).drop("_h", "_before")
+    return lines.join(n, F.col(head).eqNullSafe(F.col("_h"))).withColumn("line_no", (F.col("_before") + own).cast("bigint")).drop("_h", "_before")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lingrove.config import IdentifyOptions, Language, TrainOptions, parse_alignment
 from lingrove.functions import scaling, texts
-from lingrove.operators import grams, sample, score, select, smooth
+from lingrove.operators import grams, identify, sample, score, select, smooth
 from lingrove.operators import models as M
 from lingrove.plans import train as T
 from lingrove.sources import files, freqlist, store
@@ -237,3 +237,158 @@ def test_encodings(spark):
     df = spark.createDataFrame([(b"\xe9", "aé".encode())], "b binary, u binary")
     r = df.select(F.hex(texts.latin1_to_utf8(F.col("b"))), F.hex(texts.widened(F.col("u"), texts.Extension.UTF8_BIG)), F.hex(texts.widened(F.col("u"), texts.Extension.UTF8_LITTLE)), F.hex(texts.transliterated(F.col("u"), "utf-8", "ascii"))).first()
     assert tuple(r) == ("C3A9", "006100E9", "6100E900", "6165")
+
+
+def options_case(spark):
+    """Two models of one language from two sources, and one of another language, told apart by single trigrams."""
+    key = lambda b: int.from_bytes(b, "big")
+    rows = [(0, "a", 3, key(b"aaa"), 9, 900_000_000, 900_000_000, False), (1, "a", 3, key(b"aaa"), 8, 800_000_000, 800_000_000, False), (2, "b", 3, key(b"aaa"), 7, 760_000_000, 760_000_000, False), (2, "b", 3, key(b"bbb"), 7, 900_000_000, 900_000_000, False)]
+    langs = store.languages(spark, [Language("a", region="X", source="s", script="Latin"), Language("a", region="X", source="t"), Language("b=Bee", match_factor=16.0)])
+    return langs, spark.createDataFrame(rows, store.NGRAMS)
+
+
+@pytest.mark.parametrize(
+    "o, want",
+    [
+        (IdentifyOptions(block=0), [("a_X-utf-8", "b-utf-8"), ("b-utf-8",), ()]),
+        (IdentifyOptions(block=0, separate_sources=True), [("a_X-utf-8/s", "a_X-utf-8/t", "b-utf-8"), ("b-utf-8",), ()]),
+        (IdentifyOptions(block=0, top_n=1, show_script=True), [("a_X-utf-8@Latin",), ("b-utf-8@UNKNOWN",), ()]),
+        (IdentifyOptions(block=0, terse=True, friendly=True), [("a", "Bee"), ("Bee",), ()]),
+        (IdentifyOptions(block=1, terse=True), [("a", "b"), ("b",), ()]),
+        (IdentifyOptions(block=0, ratio=0.95), [("a_X-utf-8",), ("b-utf-8",), ()]),
+        (IdentifyOptions(block=0, adjust_coverage=True), [("a_X-utf-8",), ("b-utf-8",), ()]),
+    ],
+)
+@pytest.mark.parametrize("sent", [True, False])
+def test_identify_by_options(spark, monkeypatch, o, want, sent):
+    if not sent:
+        monkeypatch.setattr(score, "MAX_MODEL_ROWS", 0)
+    langs, model = options_case(spark)
+    docs = spark.createDataFrame([(0, "aaa"), (1, "bbb"), (2, "ccc"), (3, ""), (4, None)], "id int, text string")
+    got = identify.identify(docs, model, langs, ["id"], o).orderBy("id").collect()
+    assert [tuple(x.label for x in r.shown) for r in got if r.id < 3] == want
+    assert all(not r.shown for r in got if r.id == 3)
+    if o.block == 1:
+        assert [r.report for r in got] == ["a,b\taaa", "b\tbbb", "??\tccc"]
+    else:
+        assert got[2].report is None
+
+
+def test_verbose_blocks_blanks_and_smoothing(spark):
+    langs, model = options_case(spark)
+    docs = spark.createDataFrame([(0, "c" * 100), (1, "a a a")], "id int, text string")
+    got = identify.identify(docs, model, langs, ["id"], IdentifyOptions(block=80, verbose=True)).orderBy("id", "start").collect()
+    assert [r.report for r in got][:2] == ["@ 00000000-0000004F: no languages detected", "@ 00000014-00000063: no languages detected"]
+    blank = identify.identify(docs, model, langs, ["id"], IdentifyOptions(block=0, ignore_blanks=True)).where("id = 1").first()
+    assert [x.label for x in blank.shown] == ["a_X-utf-8", "b-utf-8"]
+    lines = spark.createDataFrame([(0, "aaa\nccc\nbbb\nbbb\n")], "id int, text string")
+    got = identify.identify(lines, model, langs, ["id"], IdentifyOptions(block=1, smooth=True)).orderBy("start").collect()
+    prior, want = smooth.Prior(), []
+    plain = score.sums(files.lines_of(lines, ["id"]), model, ["line_no"]).withColumn("score", score.score()).collect()
+    for t in range(4):
+        want.append(prior.step({r.lang_id: r.score for r in plain if r.line_no == t}, 4))
+    for r, w in zip(got, want, strict=True):
+        assert {x.lang_id: x.score for x in r.shown}.items() <= {g: pytest.approx(v, abs=2e-6) for g, v in w.items()}.items()
+        assert r.shown or not w
+
+
+def test_stop_gram_choices(spark):
+    langs = store.languages(spark, [Language("a", region="X"), Language("a", region="X", source="t"), Language("a", region="Y"), Language("b")])
+    similar = spark.createDataFrame([(0, k, s) for k, s in enumerate((1.0, 0.9, 0.8, 0.6))], "lang_a int, lang_b int, similarity double")
+    chosen = lambda by: sorted(r.lang_b for r in M.selected(similar, langs, by, 0).collect())
+    assert chosen("@0.7") == [2] and chosen(0.5) == [2, 3] and chosen("@x") == [2, 3]
+    assert chosen("a_Y,b,zz") == [2, 3] and chosen("a") == []  # one name for several models names none
+    few = spark.createDataFrame([(0, 3, k, 5) for k in range(100)] + [(1, 3, k, 5) for k in range(101)] + [(1, 2, 7, 5)], "lang_a int, len int, key bigint, weight bigint")
+    seen = spark.createDataFrame([(1, 3, 4, 1)], "lang_a int, len int, key bigint, cnt bigint")
+    assert {(r.lang_a, r.len, r.key) for r in M.stop_grams(few, seen).collect()} == {(1, 3, k) for k in range(101) if k != 4}
+
+
+def test_training_group_from_the_database(spark):
+    rng = random.Random(4)
+    text = lambda words, n=900: " ".join(rng.choice(words) for _ in range(n))
+    base = [f"{a}{b}{c}" for a in "kst" for b in "aeo" for c in "lmnr"]
+    mine = spark.createDataFrame([(text(base),)], "bytes string")
+    other = T.train(spark.createDataFrame([(text([*base, *(f"{a}u{c}" for a in "bdg" for c in "lmnr")], 9000), "b")], "text string, lang string"))
+    langs = store.languages(spark, [Language("b", train_bytes=3_000_000)])
+    langs, ngrams, lines = T.add_group(langs, other, mine, Language("a"))
+    row = langs.where("language = 'a'").first()
+    assert row.lang_id == 1 and 0.9 < row.coverage <= 1 and row.match_factor > 1 and row.train_bytes == len(mine.first().bytes)
+    with pytest.raises(ValueError):
+        T.add_group(langs, ngrams, mine, Language("a"))
+    langs, ngrams, lines = T.add_group(langs, ngrams, mine, Language("a"), TrainOptions(boost=2.0), "@0.01")
+    assert langs.count() == 2 and ngrams.where("lang_id = 1 and is_stop").count() > 0
+    stops = {bytes(r.key) for r in freqlist.native(spark.createDataFrame([(i, r.value) for i, r in enumerate(lines.collect())], "line_no int, value string")).where("is_stop").collect()}
+    own = mine.first().bytes.encode()
+    assert stops and not any(k in own for k in stops) and all(len(k) > 2 for k in stops)
+
+
+def test_sampled_training(spark):
+    rng = random.Random(9)
+    lines = spark.createDataFrame([(k, "x" * rng.choice((1, 5, 400))) for k in range(2000)], "line_no bigint, line string")
+    rows = sorted((r.line_no, len(r.line)) for r in lines.collect())
+    total = sum(size for _, size in rows)
+
+    def plain(n):
+        """The rule line by line: long lines are the likelier, so more bytes than n may come."""
+        want = float(n)
+        while True:
+            rate = want / total
+            rate += (rate - 0.5) / 6 if rate > 0.5 else 0
+            count, got = rate / 2, []
+            for no, size in rows:
+                step = rate * size / (total / len(rows))
+                if rate >= 0.98 or int(count + step) > int(count):
+                    got.append(no)
+                count += step
+            sampled = sum(size for no, size in rows if no in set(got))
+            if sampled >= n or total < want or rate >= 0.98:
+                return got
+            want *= want / sampled * 1.01
+
+    for n in (total // 10, total * 2):
+        got = sorted(r.line_no for r in sample.training_sample(lines, n).collect())
+        want = plain(n)
+        assert len(set(got) ^ set(want)) <= 2  # sums are added in another order
+    docs = spark.createDataFrame([(1, "ab\ncd\n"), (2, "ef")], "doc_id bigint, text string")
+    assert [bytes(r.bytes) for r in T.limited(docs, TrainOptions(limit_bytes=4), "doc_id").orderBy("line_no").collect()] == [b"ab\n", b"c"]
+    assert T.limited(docs, TrainOptions(), "doc_id").count() == 3
+
+
+def test_malformed_utf8_and_large_types(spark):
+    df = spark.createDataFrame([(b"a\xffb",), ("é🙂".encode(),), (b"",), (None,)], "b binary")
+    got = [None if r[0] is None else bytes(r[0]) for r in df.select(texts.widened(F.col("b"), texts.Extension.UTF8_BIG)).collect()]
+    assert got == [b"\0a\0b", "é🙂".encode("utf-16-be"), b"", None]
+    back = [r[0] for r in df.select(texts.from_utf16(texts.widened(F.col("b"), texts.Extension.UTF8_LITTLE), False)).collect()]
+    assert back == ["ab", "é🙂", "", None]
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert counts(spark, [b"abcabc", b"abd"]) == {"616263": 2, "626361": 1, "636162": 1, "616264": 1}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+
+
+def test_wide_filters(spark):
+    keys = [b"\0ab", b" \0 ", b"a\0\n", b"\t\0a", b"1\0.", b"1\x002", b"-\0-", b"a\0b", b"\n\0a"]
+    df = spark.createDataFrame([(k.hex().upper(),) for k in keys], "k string")
+    assert [r[0] for r in df.select(grams.skips_wide(F.col("k"), False, True, True)).collect()] == [True] * 7 + [False, True]
+    big = spark.createDataFrame([(k.hex().upper(),) for k in (b"\0\na", b"\0a\0", b"a\0b", b"a\0\r", b"\0\ta")], "k string")
+    assert [r[0] for r in big.select(grams.skips_wide(F.col("k"), True, True)).collect()] == [True, False, True, True, True]
+    pairs = spark.createDataFrame([(k.hex().upper(),) for k in (b"\0-\0-", b"\0 \0 \0a", b"\x001\x002", b"\x001\0,", b"\0,\x003", b"\0a\0b")], "k string")
+    assert [r[0] for r in pairs.select(grams.skips_pairs(F.col("k"), True, True)).collect()] == [True] * 5 + [False]
+    assert [r[0] for r in pairs.select(grams.skips_pairs(F.col("k"))).collect()] == [True] + [False] * 5
+    three = spark.createDataFrame([(0x616263,), (0x616200,), (0x006162,)], "key bigint")
+    assert [r.key for r in grams.cleared(three, third=0).collect()] == [0x616263, 0x006162] and grams.cleared(three, first=0, second=0x61).count() == 2
+
+
+def test_romanized(spark):
+    df = spark.createDataFrame([("Привет, мир",), ("Αθήνα",), ("plain",), (None,), ("سلام؟",)], "t string")
+    assert [r[0] for r in df.select(texts.romanized(F.col("t"))).collect()] == ["Privet, mir", "Athī́na", "plain", None, "slām?"]
+
+
+def test_database_dump(spark, tmp_path):
+    langs = store.languages(spark, [Language("en", region="US", source="w")])
+    grams_ = spark.createDataFrame([(0, "en", 3, int.from_bytes(b"a b", "big"), 2, 2048, 2048, False), (0, "en", 3, int.from_bytes(b"x\ny", "big"), 2, 4096, 4096, True)], store.NGRAMS)
+    lines = [r.value for r in store.dump(langs, grams_).orderBy("part", "place").collect()]
+    assert lines == ["LanguageIdentifier Begin", "  Lang  0: en_US-utf-8 / w", "LanguageIdentifier Trie", "   a\\ b  :: 0:2048", "   x\\0Ay  :: 0*:4096", "LanguageIdentifier End"]
+    sample.write_both(spark.createDataFrame([("a", True), ("b", False), ("c", None)], "line string, selected boolean"), f"{tmp_path}/yes", f"{tmp_path}/no")
+    assert {r.value for r in spark.read.text(f"{tmp_path}/no").collect()} == {"b", "c"} and spark.read.text(f"{tmp_path}/yes").count() == 1
