@@ -64,8 +64,11 @@ def test_run_on_hard_rows(spark, tmp_path):
         d = f"{tmp_path}/{name}"
         docs = hard(spark, empty).drop("n_tokens").withColumn("n_chars", F.length("text").cast("bigint"))
         docs.write.parquet(f"{d}/documents.parquet")
-        labels(spark, empty).write.parquet(f"{d}/labels.parquet")
+        labels(spark, empty).where("doc_id = 7").write.parquet(f"{d}/labels.parquet")  # one class, so the classifier keeps everything
         got = corpus_pipeline.run(spark, d).collect()
         assert (not got) == empty
+        # what costs nothing stays; the repeated rows go together; the text of 60,000 words is over the budget
+        assert empty or {(2, None), (3, ""), (4, " \n\t "), (6, "..."), (None, None)} <= {(r.doc_id, r.text) for r in got}
+        assert sum(r.text == HARD[0][1] for r in got) in (0, 2) and all(r.doc_id != 5 for r in got)
         assert {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, _ in HARD}
         assert all((r.token_ids is None) == (r.text is None) and (r.text is None or r.n_tokens == len(r.token_ids)) for r in got)
