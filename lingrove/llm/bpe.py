@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, fresh, text_buffers
 
-PIECE = 8 << 20
+PIECE = 1 << 20
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -162,7 +162,7 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Known:
     """The pretokens seen so far, numbered as they came, with the numbers that belong to each (``flat``, cut by ``offs``)."""
 
-    LIMIT = 400_000
+    LIMIT = 50_000
 
     def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.make = make
