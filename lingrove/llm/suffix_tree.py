@@ -8,12 +8,12 @@ distribution is its counts smoothed toward its parent's: (count(c, x) + a * p_pa
 uniform one over 256 bytes. A position is scored by the longest retained suffix of what precedes it.
 
 By default the divergence test alone decides, so the tree grows with the corpus. Up to ``MAX_NODES`` rows it is sent to the executors; a larger
-one stays a table: the distinct runs of the corpus get their probabilities by joins, and positions are joined with these.
+one stays a table: the distinct runs of the corpus get their probabilities from it, class by class of contexts, and each block of about ``BLOCK`` bytes of text is sent those of its runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, chunks, text_buffers, written
+from .common import U, chunks, drop_written, text_buffers, written
 
 DEPTH = 5
 MIN_SHARE = 0.0
 MAX_NODES = 3_000_000
+BLOCK = 32 << 20
 DIVERGENCE = 8.0
 SMOOTH = 2.0
 
@@ -94,25 +95,27 @@ def tree(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, div
     """(depth, c, x, n) of the retained contexts, from the written counts of the longest ones."""
     level = grams
     total = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = []
+    levels, made = [], []
     # a shorter context's counts are sums over the longer ones; partitioned by context, its counts and their sum take one shuffle
     for k in range(depth, -1, -1):
         if k < depth:
             shorter = level.select(F.col("c").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("c"), "x", "n")
             shorter = shorter.groupBy("c", "x").agg(F.sum("n").alias("n")) if k == 0 else shorter.repartition("c").groupBy("c", "x").agg(F.sum("n").alias("n"))
             level = written(shorter.withColumn("cn", _total_of()))
+            made.append(level)
         levels.append(level.where(F.col("cn") >= (max(1.0, min_share * total) if k else 0)).select(F.lit(k).alias("depth"), "c", "x", "n", "cn"))
     every = levels[0]
     for at in levels[1:]:
         every = every.unionByName(at)
     every = written(every)
+    drop_written(*made)
     # divergence of each context from its parent
     parent = every.select((F.col("depth") + 1).alias("pd"), F.col("c").alias("pc"), F.col("x").alias("px"), F.col("n").alias("pn"), F.col("cn").alias("pcn"))
     # the context's earliest byte is the highest of the packed ones
     up = F.expr("c & (shiftleft(cast(1 as bigint), 8 * (depth - 1)) - 1)")
     child = every.where("depth > 0").withColumn("up", up)
     kl = child.join(parent, (child.depth == parent.pd) & (child.up == parent.pc) & (child.x == parent.px)).groupBy("depth", "c", "up").agg(F.sum(F.expr("n * ln((n / cn) / (pn / pcn))")).alias("gain"))
-    chosen = kl.where(F.col("gain") >= divergence).select("depth", "c")
+    chosen = written(kl.where(F.col("gain") >= divergence).select("depth", "c"))  # read once for each depth
     keep = chosen
     for _ in range(depth - 1):
         chosen = chosen.where("depth > 1").select((F.col("depth") - 1).alias("depth"), F.expr("c & (shiftleft(cast(1 as bigint), 8 * (depth - 1)) - 1)").alias("c"))
@@ -170,7 +173,9 @@ def _score(model: Model, key: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _scorer(model: Model, depth: int):
+def _scorer(log_of: Callable[[np.ndarray], np.ndarray], depth: int):
+    """``log_of``: log2 probability of each of some distinct packed runs."""
+
     def run(col: pa.Array) -> pa.Array:
         data, offs, null = text_buffers(col)
         n = len(offs) - 1
@@ -179,7 +184,7 @@ def _scorer(model: Model, depth: int):
             o = offs[a : b + 1] - offs[a]
             codes, keys = pd.factorize(_keys(data[offs[a] : offs[b]], o, depth))
             sums = np.zeros(len(codes) + 1)
-            np.cumsum(_score(model, keys, depth)[codes], out=sums[1:])
+            np.cumsum(log_of(keys)[codes], out=sums[1:])
             total[a:b] = sums[o[1:]] - sums[o[:-1]]
         size = np.diff(offs)
         none = null | (size == 0)
@@ -188,43 +193,128 @@ def _scorer(model: Model, depth: int):
     return run
 
 
-def _positions(depth: int):
+def _pack(keys: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each, all lowest bytes first: sorted keys compress to half of what whole ones do."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view(np.int64).ravel()
+
+
+def _logs(short: pd.DataFrame, depth: int, smooth: float, lists: int):
+    """For the runs whose contexts end alike: their log2 probabilities, and the lists that they are in."""
+
+    def run(counted: pa.Table, long: pa.Table) -> pa.Table:
+        model = model_of(pd.concat([short, long.select(short.columns.tolist()).to_pandas()]), depth, smooth)
+        key = np.asarray(counted["run"])
+        return pa.table({"list": key % lists, "run": key, "log": _score(model, key, depth)})
+
+    return run
+
+
+def _wanted(depth: int, lists: int, most: int = 2_000_000):
+    """For rows (doc_id, text, block): the distinct runs of each block, by the list that they are in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        rows = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for block, found in held.items():
+                keys = np.sort(found[0])
+                at = keys % lists
+                keys = keys[np.argsort(at, kind="stable")]
+                have, n = np.unique(at, return_counts=True)
+                cut = np.r_[0, np.cumsum(n)]
+                raw = [_pack(keys[a:b], depth + 1) for a, b in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(np.full(len(have), block)), pa.array(raw, pa.binary())], names=["list", "block", "keys"])
+
         for batch in batches:
-            tags = np.asarray(batch.column(0))
-            data, offs, _ = text_buffers(batch.column(1))
-            for a, b in chunks(offs):
-                o = offs[a : b + 1] - offs[a]
-                codes, keys = pd.factorize(_keys(data[offs[a] : offs[b]], o, depth))
-                if not len(keys):
-                    continue
-                at, n = np.unique(np.repeat(np.arange(b - a), np.diff(o)) * len(keys) + codes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(tags[a + at // len(keys)]), pa.array(keys[at % len(keys)]), pa.array(n)], names=["tag", "key", "n"])
+            block = np.asarray(batch.column(2))
+            for of in np.unique(block).tolist():
+                data, offs, _ = text_buffers(batch.column(1).filter(pa.array(block == of)))
+                for a, b in chunks(offs):
+                    keys = pd.unique(_keys(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], depth))
+                    if not len(keys):
+                        continue
+                    held.setdefault(of, []).append(keys)
+                    rows += len(keys)
+                    if rows > most:
+                        held = {k: [pd.unique(np.concatenate(v))] for k, v in held.items()}
+                        rows = sum(len(v[0]) for v in held.values())
+                        if rows > most // 2:  # a block may ask for a run again
+                            yield from packed()
+                            held, rows = {}, 0
+        held = {k: [pd.unique(np.concatenate(v))] for k, v in held.items()}
+        yield from packed()
 
     return run
 
 
-def _by_join(docs: DataFrame, grams: DataFrame, nodes: DataFrame, depth: int, smooth: float) -> DataFrame:
-    """``scores`` with the tree as a table. Every run of a text is among ``grams``, so no byte is unseen after a retained context."""
-    nodes = nodes.withColumn("cn", F.sum("n").over(Window.partitionBy("depth", "c")))
-    runs = grams.select("c", "x").withColumn("p", F.lit(1 / 256))
-    for k in range(depth + 1):
-        at = nodes.where(F.col("depth") == k).select(F.col("c").alias("nc"), F.col("x").alias("nx"), "n", "cn")
-        runs = runs.join(at, (F.col("c").bitwiseAND(F.lit((1 << 8 * k) - 1)) == F.col("nc")) & (F.col("x") == F.col("nx")), "left")
-        runs = runs.select("c", "x", F.when(F.col("n").isNull(), F.col("p")).otherwise((F.col("n") + smooth * F.col("p")) / (F.col("cn") + smooth)).alias("p"))
-    runs = runs.select(F.shiftleft("c", 8).bitwiseOR(F.col("x")).alias("run"), F.log2("p").alias("log"))
-    tag = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
-    rows = docs.select("doc_id", "text", tag.alias("tag"))
-    found = rows.where("text is not null").select("tag", "text").mapInArrow(_positions(depth), "tag bigint, key bigint, n bigint")
-    sums = found.join(runs, F.col("key") == F.col("run")).groupBy(F.col("tag").alias("of")).agg(F.sum(F.col("n") * F.col("log")).alias("total"), F.sum("n").alias("seen"))
-    # equal texts have one sum together
-    size = F.octet_length("text").cast("bigint")
-    log = F.when(size == 0, F.lit(0.0)).otherwise(F.col("total") * size / F.col("seen"))
-    rows = rows.join(sums, F.col("tag") == F.col("of"), "left").select("doc_id", size.alias("n_bytes"), log.alias("log2_prob"))
-    return rows.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("log2_prob") / F.col("n_bytes")))
-
-
-def scores(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, smooth: float = SMOOTH, max_nodes: int = MAX_NODES) -> DataFrame:
+def _answer(width: int):
+    """For a list: what blocks want of it with the log2 probabilities."""
+
+    def run(wanted: pa.Table, runs: pa.Table) -> pa.Table:
+        key, log = np.asarray(runs["run"]), np.asarray(runs["log"])
+        order = np.argsort(key)
+        find = _lookup(key[order], log[order])
+        logs = [find(_unpack(raw.as_py(), width)).tobytes() for raw in wanted["keys"]]
+        return pa.table({"block": wanted["block"], "keys": wanted["keys"], "logs": pa.array(logs, pa.binary())})
+
+    return run
+
+
+def _lookup(key: np.ndarray, log: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    def find(keys: np.ndarray) -> np.ndarray:
+        at, known = _find(key, keys)
+        if not known.all():
+            raise ValueError("a run of a text isn't among those counted: the table of texts changed while it was read")
+        return log[at]
+
+    return find
+
+
+def _score_block(depth: int):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        key = np.concatenate([np.zeros(0, np.int64), *(_unpack(raw.as_py(), depth + 1) for raw in answers["keys"])])
+        log = np.concatenate([np.zeros(0), *(np.frombuffer(raw.as_py()) for raw in answers["logs"])])
+        order = np.argsort(key)
+        score = _scorer(_lookup(key[order], log[order]), depth)
+        names = ["doc_id", "n_bytes", "log2_prob", "bits_per_byte"]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([b.column(0), *score(b.column(1)).flatten()], names=names) for b in rows.to_batches()])
+
+    return run
+
+
+def _by_join(docs: DataFrame, grams: DataFrame, nodes: DataFrame, depth: int, smooth: float, block_bytes: int) -> DataFrame:
+    """``scores`` with the tree as a table. Every run of a text is among ``grams``, so no byte is unseen after a retained context.
+
+    Texts are put into blocks of about ``block_bytes``; a block asks once for each of its runs, so what is shuffled follows the bytes of text,
+    not the runs of each text. Runs and their probabilities are spread over lists, and lists answer blocks.
+    """
+    spark = docs.sparkSession
+    blocks = nodes.where("depth = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // block_bytes + 1
+    lists = max(blocks, 63) | 1  # odd, so that all bytes decide
+    # contexts that end alike are together; the few short ones go to all
+    end = F.col("c").bitwiseAND(F.lit(0xFFFF)) % lists
+    short = nodes.where("depth < 2").toArrow().to_pandas()
+    long = nodes.where("depth > 1").select(end.alias("end"), "depth", "c", "x", "n")
+    counted = grams.select(end.alias("end"), F.shiftleft("c", 8).bitwiseOR(F.col("x")).alias("run"))
+    runs = counted.groupBy("end").cogroup(long.groupBy("end")).applyInArrow(_logs(short, depth, smooth, lists), "list bigint, run bigint, log double")
+    # the same exchange of texts serves twice: the runs are taken from all of its columns, and it has as many partitions as others at least,
+    # or the cogroup would shuffle the texts anew
+    parts = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(parts, "block")
+    wanted = rows.mapInArrow(_wanted(depth, lists), "list bigint, block bigint, keys binary")
+    answers = wanted.groupBy("list").cogroup(runs.groupBy("list")).applyInArrow(_answer(depth + 1), "block bigint, keys binary, logs binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(depth), f"doc_id {kind}, n_bytes bigint, log2_prob double, bits_per_byte double")
+
+
+def scores(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, smooth: float = SMOOTH, max_nodes: int = MAX_NODES, block_bytes: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, log2_prob, bits_per_byte) for every row of ``docs`` under the tree of all rows.
 
     Null text: all null. Empty text: 0 bytes, 0, null. Repeated rows count, and are scored, each time; null ids too. Further columns aren't
@@ -233,6 +323,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, di
     grams = written(counts(docs, depth))
     nodes = written(tree(grams, depth, min_share, divergence))
     if nodes.count() > max_nodes:
-        return _by_join(docs, grams, nodes, depth, smooth)
-    f = F.arrow_udf(_scorer(model_of(nodes.toArrow().to_pandas(), depth, smooth), depth), "n_bytes bigint, log2_prob double, bits_per_byte double")
+        return _by_join(docs, grams, nodes, depth, smooth, block_bytes)
+    model = model_of(nodes.toArrow().to_pandas(), depth, smooth)
+    f = F.arrow_udf(_scorer(lambda keys: _score(model, keys, depth), depth), "n_bytes bigint, log2_prob double, bits_per_byte double")
     return docs.select("doc_id", f(F.col("text")).alias("s")).select("doc_id", "s.*")
