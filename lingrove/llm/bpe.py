@@ -6,6 +6,7 @@ all live positions of the pair merge at once, and only the lists of the pairs to
 added to; entries that a merge made stale are told by their symbols when their list comes up. A worker goes through its partition in pieces of some
 ``PIECE`` bytes; the index of a piece has the pretokens that no earlier one had, so each distinct pretoken is encoded once
 and its ids are gathered for every occurrence. Beyond ``Known.LIMIT`` pretokens a worker forgets them and begins anew.
+A batch's ids are written into one array, and what a batch took is given back to the system before the next.
 
 The vocabulary is read from ``vocab_path`` in each Python worker (once); it is never trained and never copied.
 """
@@ -25,9 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, text_buffers
+from .common import chunks, fresh, releasing, text_buffers
 
 PIECE = 1 << 20
+COMPARE = 1 << 17  # bytes that are decoded at once
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -221,22 +223,23 @@ def _encoder(path: str):
     def run(col: pa.Array) -> pa.Array:
         v = vocabulary(path)
         data, offs, null = text_buffers(col)
-        ids, at, same = [], [np.zeros(1, np.int64)], []
+        # a text has no more tokens than bytes; pages that nothing is written to take no memory
+        flat, at, same = np.empty(int(offs[-1]), np.int32), [np.zeros(1, np.int64)], []
         known = encoder(path)
         for a, b in chunks(offs, PIECE):
             got, o = encode_batch(col.slice(a, b - a).to_pylist(), known)
-            ids.append(got)
-            at.append(o[1:] + at[-1][-1])
-            for x, y in chunks(offs[a : b + 1] - offs[a]):
+            n = int(at[-1][-1])
+            flat[n : n + len(got)] = got
+            at.append(o[1:] + n)
+            for x, y in chunks(offs[a : b + 1] - offs[a], COMPARE):
                 raw, ends = decode_batch(got[o[x] : o[y]], o[x : y + 1] - o[x], v)
                 lo, hi = offs[a + x], offs[a + y]
                 if np.array_equal(ends, offs[a + x : a + y + 1] - lo) and np.array_equal(raw, data[lo:hi]):
                     same.append(np.ones(y - x, bool))
                 else:
                     same.append(np.array([raw[ends[i] : ends[i + 1]].tobytes() == data[offs[a + x + i] : offs[a + x + i + 1]].tobytes() for i in range(y - x)]))
-        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
         ends = np.concatenate(at).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.r_[null, False]) if null.any() else pa.array(ends), pa.array(flat))
+        lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.r_[null, False]) if null.any() else pa.array(ends), pa.array(flat[: ends[-1]]))
         return pa.StructArray.from_arrays([pa.array(np.diff(ends).astype(np.int64), mask=null), lists, pa.array(np.concatenate(same) if same else np.zeros(0, bool), mask=null)], ["n_tokens", "token_ids", "round_trip"])
 
     return run
@@ -244,7 +247,7 @@ def _encoder(path: str):
 
 def encoded(docs: DataFrame, name: str, vocab_path: str = VOCAB) -> DataFrame:
     """``docs`` with a struct column (n_tokens, token_ids, round_trip); null text: all null; empty text: no tokens."""
-    return docs.withColumn(name, F.arrow_udf(_encoder(vocab_path), "n_tokens bigint, token_ids array<int>, round_trip boolean")(F.col("text")))
+    return docs.withColumn(name, F.arrow_udf(releasing(_encoder(vocab_path)), "n_tokens bigint, token_ids array<int>, round_trip boolean")(F.col("text")))
 
 
 def encode(docs: DataFrame, vocab_path: str = VOCAB) -> DataFrame:

@@ -7,6 +7,7 @@ worker's memory follows the longest text, not the size of its partition.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -101,6 +102,29 @@ def chunks(offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
+def give_back() -> None:
+    """Return what numpy and Arrow have freed to the system: Spark keeps workers between tasks, more of them than run at once."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[pa.Array], pa.Array]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """``run`` for arrow_udf as one call for all batches of a task, which gives memory back after each batch and at the end."""
+
+    def each(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in cols:
+            made = run(col)
+            del col
+            yield made
+            del made
+            give_back()
+        give_back()
+
+    return each
+
+
 # ---- hashing ---------------------------------------------------------------
 
 

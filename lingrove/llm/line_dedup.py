@@ -165,7 +165,8 @@ def _cleaned(docs: DataFrame, min_lines: int) -> tuple[DataFrame, str]:
     doc, tag, gone, made = fresh(docs, "doc", "tag", "runs", "made")
     found = runs(docs.select("doc_id", "text"), min_lines).groupBy(F.col("doc").alias(doc), F.col("tag").alias(tag)).agg(F.collect_list(F.struct("start", "length")).alias(gone))
     on = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == F.col(doc)) & (F.xxhash64(docs["text"]).bitwiseAND(F.lit(2147483647)) == F.col(tag))
-    f = F.arrow_udf(_remove, "text string, n_lines bigint, n_removed bigint")
+    # said to be nondeterministic, or a filter on what it gives would run it a second time, in a second Python worker of each task
+    f = F.arrow_udf(_remove, "text string, n_lines bigint, n_removed bigint").asNondeterministic()
     # a shuffle at every size: the runs grow with the documents
     return docs.join(found.hint("merge"), on, "left").withColumn(made, f(docs["text"], F.col(gone))), made
 
