@@ -6,10 +6,12 @@ from dataclasses import dataclass, field
 
 from .functions import scaling
 
+SMALL_DATA = 1e11  # bytes x k of the text of one training
+
 
 @dataclass(frozen=True)
 class TrainOptions:
-    """k: n-grams per model; lengths; affix ratio (over 1: no pruning, under 0.4: 0.4); power of the smoothing (negative: logarithmic); limit_bytes: train on the first bytes, or on lines spread over all the text (sampled); boost: of n-grams no related model has."""
+    """k: n-grams per model; lengths; affix ratio (over 1: no pruning, under 0.4: 0.4); power of the smoothing (negative: logarithmic); limit_bytes: train on the first bytes, or on lines spread over all the text (sampled); boost: of n-grams no related model has; small: the passes for small data (None: as the bytes say)."""
 
     k: int = 5000
     min_length: int = 3
@@ -25,6 +27,7 @@ class TrainOptions:
     limit_bytes: int | None = None
     sampled: bool = False
     boost: float = 1.0
+    small: bool | None = None
 
     def __post_init__(self) -> None:
         if not 3 <= self.min_length <= self.max_length <= 8:
@@ -37,7 +40,7 @@ class TrainOptions:
 
     def passes(self, n_bytes: int) -> list[tuple[int, int]]:
         """(shortest, longest) of each counting pass; fewer and wider passes for small data."""
-        x, small, out = self.alignment, n_bytes * self.k < 1e11, []
+        x, small, out = self.alignment, n_bytes * self.k < SMALL_DATA if self.small is None else self.small, []
         m, top = 4, min(self.max_length, 4 + x * (2 if small else 1))
         while m <= self.max_length:
             out.append((m, top))
