@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 4 << 20
+from .trie import MAX_CELLS, Trie, within_rows
+
+CHUNK = 1 << 20
 
 
 def utf8(col: Column) -> Column:
@@ -104,8 +106,7 @@ def _counter(low: int, high: int, alignment: int, allowed: Mapping[object, np.nd
         def flush() -> Iterator[pa.RecordBatch]:
             for (group, n), parts in held.items():
                 key, count = merged(parts)
-                if len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array([group] * len(key), pa.string()), pa.array(np.full(len(key), n, np.int32)), pa.array(key), pa.array(count)], names=["grp", "len", "key", "cnt"])
+                yield from _rows(group, n, key, count)
 
         for batch in batches:
             for group, rows_of in by_group(batch.column(0)):
@@ -149,6 +150,123 @@ def counts(texts: DataFrame, low: int, high: int, alignment: int = 1, allowed: M
     return texts.mapInArrow(_counter(low, high, alignment, allowed, prefix_size), "grp string, len int, key bigint, cnt bigint").groupBy("grp", "len", "key").agg(F.sum("cnt").alias("cnt"))
 
 
+class _Held:
+    """Counts of (node, next byte): in one array, a column for each byte that has come up, while that is small; else as pairs."""
+
+    def __init__(self, nodes: int):
+        self.nodes, self.parts, self.room = nodes, [], 0
+        self.column, self.bytes = np.full(256, -1, np.int64), np.zeros(0, np.int64)
+        self.total = np.zeros((nodes, 0), np.int64)
+        self.pairs = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def add(self, node: np.ndarray, byte: np.ndarray) -> None:
+        self.parts.append((node.astype(np.int32), byte))
+        self.room += len(node)
+        if self.room > 1_000_000:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.parts:
+            return
+        node, byte = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.room = [], 0
+        some = np.flatnonzero(np.bincount(byte, minlength=256))
+        new = some[self.column[some] < 0]
+        if self.total is not None and len(new):
+            self.column[new] = np.arange(len(self.bytes), len(self.bytes) + len(new))
+            self.bytes = np.concatenate([self.bytes, new])
+            if self.nodes * len(self.bytes) > MAX_CELLS // 2:
+                self.pairs, self.total = self.found(), None
+            else:
+                self.total = np.pad(self.total, ((0, 0), (0, len(new))))
+        if self.total is not None:
+            self.total += np.bincount(node.astype(np.int64) * len(self.bytes) + self.column[byte], minlength=self.total.size).reshape(self.total.shape)
+        else:
+            known = len(self.pairs[0])
+            codes, found = pd.factorize(np.concatenate([self.pairs[0], (node.astype(np.int64) << 8) | byte]))
+            many = np.bincount(codes[known:], minlength=len(found))
+            many[:known] += self.pairs[1]
+            self.pairs = found, many
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node << 8 | byte, count)."""
+        self.settle()
+        if self.total is None:
+            return self.pairs
+        node, column = np.nonzero(self.total)
+        return (node << 8) | self.bytes[column], self.total[node, column]
+
+
+def _rows(group: object, size: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(key), 1 << 17):
+        k, c = pa.array(key[a : a + (1 << 17)].astype(np.int64)), pa.array(count[a : a + (1 << 17)].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(group, pa.string()), len(k)), pa.repeat(pa.scalar(size, pa.int32()), len(k)), k, c], names=["grp", "len", "key", "cnt"])
+
+
+def extensions(texts: DataFrame, heads: Mapping[object, np.ndarray], size: int, alignment: int = 1) -> DataFrame:
+    """(grp, len, key, cnt) of the n-grams of ``size`` bytes whose first size - 1 are one of the group's ``heads`` (sorted, distinct): what ``counts`` with ``allowed`` gives
+    for one length, without a search. A task holds a number for each head and byte."""
+    tries = {g: Trie({size - 1: h}) for g, h in heads.items() if len(h)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, _Held] = {}
+        for batch in batches:
+            for group, rows_of in by_group(batch.column(0)):
+                trie = tries.get(group)
+                if trie is None:
+                    continue
+                trie.make()
+                if group not in held:
+                    held[group] = _Held(len(trie.nodes[size - 1]))
+                data, offs = buffers(batch.column(1).filter(rows_of))
+                for a, b in pieces(offs, CHUNK >> 1):
+                    part, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                    ok = within_rows(o, size)
+                    if alignment > 1:
+                        at = np.arange(len(part))
+                        ok &= _starts(o, at) % alignment == 0
+                    for n, start, node in trie.walk(part, ok):
+                        if n == size - 1:
+                            held[group].add(node, part[start + n])
+        for group, h in held.items():
+            at, count = h.found()
+            yield from _rows(group, size, (tries[group].nodes[size - 1][at >> 8] << 8) | (at & 255), count)
+
+    return texts.mapInArrow(run, "grp string, len int, key bigint, cnt bigint").groupBy("grp", "len", "key").agg(F.sum("cnt").alias("cnt"))
+
+
+def occurrences(texts: DataFrame, wanted: Mapping[object, Mapping[int, np.ndarray]]) -> DataFrame:
+    """(grp, len, key, cnt): how often each group's texts have its wanted keys (by length, sorted); those that never occur have no row."""
+    tries = {g: Trie(k) for g, k in wanted.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[object, int], np.ndarray] = {}
+        for batch in batches:
+            for group, rows_of in by_group(batch.column(0)):
+                trie = tries.get(group)
+                if trie is None:
+                    continue
+                trie.make()
+                data, offs = buffers(batch.column(1).filter(rows_of))
+                for a, b in pieces(offs, CHUNK >> 1):
+                    part, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                    for n, start, node in trie.walk(part):
+                        if n in trie.keys:
+                            # those that reach beyond their row don't count
+                            inside = np.zeros(len(start) + 1, np.int32)
+                            low = np.searchsorted(start, o[:-1])
+                            np.add.at(inside, low, 1)
+                            np.add.at(inside, np.maximum(low, np.searchsorted(start, o[1:] - n, "right")), -1)
+                            node = node[np.cumsum(inside[:-1]) > 0]
+                            seen = np.bincount(node, minlength=len(trie.nodes[n]))[trie.own[n]]
+                            held[group, n] = held.get((group, n), 0) + seen
+        for (group, n), count in held.items():
+            at = np.flatnonzero(count)
+            yield from _rows(group, n, tries[group].keys[n][at], count[at])
+
+    return texts.mapInArrow(run, "grp string, len int, key bigint, cnt bigint").groupBy("grp", "len", "key").agg(F.sum("cnt").alias("cnt"))
+
+
 def exploded(texts: DataFrame, low: int, high: int, bytes_col: str = "b") -> DataFrame:
     """``texts`` with (start, len, key_hex) of every n-gram, in the JVM: slices of the binary column, so any length goes."""
     out = None

@@ -75,16 +75,21 @@ def strings_of(docs: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOpt
     return out.select(*ids, F.col("start").cast("bigint").alias("start"), "bytes")
 
 
+def _ranking(languages: DataFrame, o: IdentifyOptions) -> tuple[Ranking, dict[int, int]]:
+    """What is shown of the models, and the alignments other than 1."""
+    names = [c for c in ("friendly", "region", "encoding", "source", "script") if c not in languages.columns]
+    rows = languages.withColumns({c: F.lit(None).cast("string") for c in names})
+    factor = adjustment(F.col("match_factor"), F.col("alignment")) if "match_factor" in languages.columns else F.lit(1.0)
+    rows = rows.select("lang_id", "language", "friendly", "region", "encoding", "source", "script", factor.cast("double").alias("factor"), (F.col("alignment") if "alignment" in languages.columns else F.lit(1)).alias("alignment")).collect()
+    return Ranking(rows, o), {r.lang_id: r.alignment for r in rows if r.alignment > 1}
+
+
 def shown(strings: DataFrame, model: DataFrame, languages: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions(), order: str | None = None) -> DataFrame:
     """``strings`` (ids..., bytes and others) with n_bytes and ``shown``: the languages reported, best first; empty where there is none.
 
     languages: a row for each model (see ``sources.store``). order: with ``o.smooth``, the one of ``ids`` that numbers the strings of a sequence.
     """
-    names = [c for c in ("friendly", "region", "encoding", "source", "script") if c not in languages.columns]
-    rows = languages.withColumns({c: F.lit(None).cast("string") for c in names})
-    factor = adjustment(F.col("match_factor"), F.col("alignment")) if "match_factor" in languages.columns else F.lit(1.0)
-    rows = rows.select("lang_id", "language", "friendly", "region", "encoding", "source", "script", factor.cast("double").alias("factor"), (F.col("alignment") if "alignment" in languages.columns else F.lit(1)).alias("alignment")).collect()
-    rank, align = Ranking(rows, o), {r.lang_id: r.alignment for r in rows if r.alignment > 1}
+    rank, align = _ranking(languages, o)
     b = F.encode("bytes", "UTF-8") if dict(strings.dtypes)["bytes"] == "string" else F.col("bytes")
     sized = strings.withColumn("n_bytes", F.octet_length(b).cast("bigint"))
     scored_bytes = texts.without_blank_bytes(b) if o.ignore_blanks else b
@@ -93,7 +98,7 @@ def shown(strings: DataFrame, model: DataFrame, languages: DataFrame, ids: list[
 
         def run(col: pa.Array) -> pa.Array:
             data, offs = grams.buffers(col)
-            parts = [rank.top(tables.scores(data[offs[a] : offs[c]], offs[a : c + 1] - offs[a], o)) for a, c in grams.pieces(offs, 1 << 20, tables.rows())]
+            parts = [rank.top(tables.scores(data[offs[a] : offs[c]], offs[a : c + 1] - offs[a], o)) for a, c in grams.pieces(offs, score.PIECE, tables.rows())]
             return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("lang_id", pa.int32()), ("label", pa.string()), ("score", pa.float64())])))
 
         return sized.withColumn("shown", F.arrow_udf(run, SHOWN)(scored_bytes))
@@ -116,6 +121,43 @@ def shown(strings: DataFrame, model: DataFrame, languages: DataFrame, ids: list[
     return sized.join(lists, ids, "left").withColumn("shown", F.coalesce("shown", F.array().cast(SHOWN)))
 
 
+def _overlapping(tables: score._Tables, rank: Ranking, o: IdentifyOptions, col: pa.Array) -> pa.Array:
+    """For each text the list of its blocks, (start, n_bytes, shown): a text is gone through once, whatever share of them overlaps."""
+    data, offs = grams.buffers(col)
+    size, step = np.diff(offs), o.block // 4
+    limit = np.minimum(size, np.maximum(1, -(-size // o.block) - 1) * o.block)
+    many = -(-limit // step)
+    text = np.repeat(np.arange(len(size)), many)
+    start = (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)) * step
+    low = offs[text] + start
+    high = np.minimum(low + o.block, offs[text + 1])
+    parts, a = [], 0
+    while a < len(low):
+        b = min(len(low), a + tables.rows(), max(a + 1, int(np.searchsorted(low, low[a] + max(score.PIECE, 2 * o.block)))))
+        at = low[a]
+        parts.append(rank.top(tables.scores_of(data[at : high[a:b].max()], low[a:b] - at, high[a:b] - at, o)))
+        a = b
+    found = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("lang_id", pa.int32()), ("label", pa.string()), ("score", pa.float64())])))
+    items = pa.StructArray.from_arrays([pa.array(start.astype(np.int64)), pa.array((high - low).astype(np.int64)), found], ["start", "n_bytes", "shown"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), items)
+
+
+def blocks_shown(docs: DataFrame, model: DataFrame, languages: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions(), text: str = "text") -> DataFrame:
+    """(ids..., start, n_bytes, shown) of the overlapping blocks of each text: as ``shown`` over ``strings_of``, without making the blocks."""
+    rank, align = _ranking(languages, o)
+    if o.smooth or o.ignore_blanks or align or not score.sendable(score.used_by(model, o)):
+        return shown(strings_of(docs, ids, o, text), model, languages, [*ids, "start"], o, "start").select(*ids, "start", "n_bytes", "shown")
+    tables = score.tables_of(model, o, align)
+
+    def run(col: pa.Array) -> pa.Array:
+        return _overlapping(tables, rank, o, col)
+
+    kind = f"array<struct<start: bigint, n_bytes: bigint, shown: {SHOWN}>>"
+    b = F.encode(text, "UTF-8") if dict(docs.dtypes)[text] == "string" else F.col(text)
+    found = docs.where(F.col(text).isNotNull()).select(*ids, F.arrow_udf(run, kind)(b).alias("_blocks"))
+    return found.select(*ids, F.explode("_blocks").alias("_b")).select(*ids, "_b.start", "_b.n_bytes", "_b.shown")
+
+
 def best(strings: DataFrame, model: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions(), alignments: dict[int, int] | None = None) -> DataFrame:
     """``strings`` (ids..., bytes and others) with (lang_id, score) of the highest score, ties by language id; both null where nothing matches."""
     if not score.sendable(score.used_by(model, o)):
@@ -126,7 +168,7 @@ def best(strings: DataFrame, model: DataFrame, ids: list[str], o: IdentifyOption
     def run(col: pa.Array) -> pa.Array:
         data, offs = grams.buffers(col)
         lang, top = np.zeros(len(offs) - 1, np.int32), np.full(len(offs) - 1, -np.inf)
-        for a, b in grams.pieces(offs, 1 << 20, tables.rows()):
+        for a, b in grams.pieces(offs, score.PIECE, tables.rows()):
             s = tables.scores(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], o)
             if s.shape[1]:
                 lang[a:b] = s.argmax(axis=1)
@@ -153,5 +195,7 @@ def reported(found: DataFrame, o: IdentifyOptions = IdentifyOptions()) -> DataFr
 
 def identify(docs: DataFrame, model: DataFrame, languages: DataFrame, ids: list[str], o: IdentifyOptions = IdentifyOptions(), text: str = "text") -> DataFrame:
     """(ids..., start, n_bytes, shown, report) of every string of the documents. Null and empty texts have no string; an empty table gives no rows."""
+    if o.block > 2:
+        return reported(blocks_shown(docs, model, languages, ids, o, text), o).select(*ids, "start", "n_bytes", "shown", "report")
     found = shown(strings_of(docs, ids, o, text), model, languages, [*ids, "start"], o, "start")
     return reported(found, o).select(*ids, "start", "n_bytes", "shown", "report")

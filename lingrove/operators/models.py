@@ -14,6 +14,7 @@ from . import grams
 from .select import survives, with_max_child
 
 MIN_CONFUSIBLE = 134_213_632
+MAX_WANTED = 4_000_000  # n-grams that are sent to be counted; beyond it all are counted and joined
 FULL_TRAINING, LEAST_TRAINING = 2_000_000.0, 15_000.0
 
 
@@ -52,6 +53,12 @@ def confusible(model: DataFrame, pairs: DataFrame, train_bytes: DataFrame, power
 
 def observed(texts: DataFrame, wanted: DataFrame, low: int = 3, high: int = 8) -> DataFrame:
     """(lang_a, len, key, cnt): occurrences of the wanted (lang_a, len, key) in that language's training texts (grp, bytes), grp being lang_a as text."""
+    if wanted.count() <= MAX_WANTED:
+        sent = {}
+        for (lang, n), t in wanted.where(F.col("len").between(low, high)).select("lang_a", "len", "key").toPandas().groupby(["lang_a", "len"]):
+            sent.setdefault(str(lang), {})[int(n)] = t["key"].sort_values().to_numpy()
+        found = grams.occurrences(texts, sent)
+        return found.select(F.col("grp").cast("int").alias("lang_a"), "len", "key", "cnt")
     found = grams.counts(texts, low, high).withColumn("lang_a", F.col("grp").cast("int"))
     return found.join(wanted.select("lang_a", "len", "key"), ["lang_a", "len", "key"], "left_semi").select("lang_a", "len", "key", "cnt")
 

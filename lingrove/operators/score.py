@@ -17,61 +17,108 @@ from pyspark.sql import functions as F
 from ..config import IdentifyOptions
 from ..functions.scaling import length_factor
 from . import grams
+from .trie import Trie
 
 MAX_MODEL_ROWS = 4_000_000
+MAX_COLUMNS = 32  # languages, with and without stop-grams, whose weights by n-gram are kept as columns; of more, entries are gone through one by one
+PIECE = 1 << 18
 _MAX_ALIGN = np.array([4, 1, 2, 1])
 
 
 class _Tables:
-    """The models by n-gram length: sorted keys, and for each the entries (language, stop flag, weight) from ``first`` on."""
+    """The models by n-gram length: a trie of the keys, and for each key the entries (language, stop flag, weight) from ``first`` on."""
 
     def __init__(self, rows, lengths: range, alignments: dict[int, int]):
         self.by_length = {}
         self.langs = int(rows["lang_id"].max()) + 1 if len(rows) else 0
         self.align = np.array([alignments.get(i, 1) for i in range(self.langs)])
+        keys = {}
         for n in lengths:
             t = rows[rows["len"] == n].sort_values("key")
             if len(t):
-                key, first, many = np.unique(t["key"].to_numpy(np.int64), return_index=True, return_counts=True)
-                self.by_length[n] = (key, first, many, t["lang_id"].to_numpy(np.int64), t["is_stop"].to_numpy(bool), t["quant"].to_numpy(np.float64))
+                keys[n], first, many = np.unique(t["key"].to_numpy(np.int64), return_index=True, return_counts=True)
+                self.by_length[n] = (first, many, t["lang_id"].to_numpy(np.int64), t["is_stop"].to_numpy(bool), t["quant"].to_numpy(np.float64))
+        self.trie = Trie(keys)
+        self.columns = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"columns": None}
+
+    def _column(self, n: int) -> dict[tuple[int, int], np.ndarray] | None:
+        """By (language, stop flag) the weight of each node of n bytes; None where they are many, or starts count by language."""
+        if self.columns is None:
+            self.columns = {}
+            self.trie.make()
+        if n not in self.columns:
+            first, many, lang, stop, quant = self.by_length[n]
+            kinds = np.unique(lang * 2 + stop)
+            if len(kinds) > MAX_COLUMNS or (self.align > 1).any():
+                self.columns[n] = None
+            else:
+                key, kind = np.repeat(self.trie.own[n], many), lang * 2 + stop
+                self.columns[n] = {}
+                for c in kinds.tolist():
+                    w = np.zeros(len(self.trie.nodes[n]), np.int64)
+                    np.add.at(w, key[kind == c], quant[kind == c].astype(np.int64))
+                    self.columns[n][c // 2, c % 2] = w
+        return self.columns[n]
 
     def sums(self, data: np.ndarray, offs: np.ndarray) -> dict[int, np.ndarray]:
         """By length: rows x languages x (ordinary, stop-gram) sums of weights; exact, as they stay below 2^53."""
-        n, out = len(offs) - 1, {}
-        for size, (table, first, many, lang, stop, quant) in self.by_length.items():
-            key, start = grams.keys(data, offs, size)
-            if not len(key):
+        return self.sums_of(data, offs[:-1], offs[1:])
+
+    def sums_of(self, data: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict[int, np.ndarray]:
+        """The same for the strings data[low:high], which may overlap: the data is gone through once."""
+        out = {}
+        for size, start, node in self.trie.walk(data):
+            if size not in self.by_length:
+                continue
+            a = np.searchsorted(start, low)
+            b = np.maximum(a, np.searchsorted(start, high - size, "right"))
+            columns = self._column(size)
+            if columns is not None:
+                out[size] = np.zeros((len(low), self.langs, 2))
+                run = np.zeros(len(start) + 1, np.int64)
+                for (lang, stop), w in columns.items():
+                    np.cumsum(w[node], out=run[1:])
+                    out[size][:, lang, stop] = run[b] - run[a]
                 continue
-            at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-            hit = np.flatnonzero(table[at] == key)
-            at, start = at[hit], start[hit]
-            row = np.searchsorted(offs, start, "right") - 1
+            first, many, lang, stop, quant = self.by_length[size]
+            m = b - a
+            hit = np.arange(int(m.sum())) + np.repeat(a - (np.cumsum(m) - m), m)
+            row, at = np.repeat(np.arange(len(low)), m), self.trie.place[size][node[hit]]
+            own = np.flatnonzero(at >= 0)
+            row, at, rel = row[own], at[own], start[hit[own]]
+            rel = rel - low[row]
             m = many[at]
             entry = np.arange(int(m.sum())) + np.repeat(first[at] - (np.cumsum(m) - m), m)
-            row, most = np.repeat(row, m), np.repeat(_MAX_ALIGN[(start - offs[row]) % 4], m)
+            row, most = np.repeat(row, m), np.repeat(_MAX_ALIGN[rel % 4], m)
             ok = self.align[lang[entry]] <= most
             if not ok.all():
                 entry, row = entry[ok], row[ok]
             cell = (row * self.langs + lang[entry]) * 2 + stop[entry]
-            out[size] = np.bincount(cell, quant[entry], minlength=n * self.langs * 2).reshape(n, self.langs, 2)
+            out[size] = np.bincount(cell, quant[entry], minlength=len(low) * self.langs * 2).reshape(len(low), self.langs, 2)
         return out
 
-
     def rows(self) -> int:
         """Rows that are scored at once, so that their cells stay within some 32 MB for each length, whatever the number of languages."""
         return max(1, (2 << 20) // max(1, self.langs))
 
     def scores(self, data: np.ndarray, offs: np.ndarray, o: IdentifyOptions) -> np.ndarray:
         """rows x languages: the scores, -inf where nothing matches; the same arithmetic, in the same order, as ``score``."""
-        got = self.sums(data, offs)
-        shape = (len(offs) - 1, self.langs)
+        return self.scores_of(data, offs[:-1], offs[1:], o)
+
+    def scores_of(self, data: np.ndarray, low: np.ndarray, high: np.ndarray, o: IdentifyOptions) -> np.ndarray:
+        """The same for the strings data[low:high], which may overlap."""
+        got = self.sums_of(data, low, high)
+        shape = (len(low), self.langs)
         total, some = np.zeros(shape), np.zeros(shape, bool)
         for n in o.lengths():
             if n in got:
                 f = length_factor(n, o.bigram_weight)
                 total += got[n][:, :, 0] * f + got[n][:, :, 1] * (f * o.stop_penalty)
                 some |= (got[n] != 0).any(axis=2)
-        total /= (1e11 * np.maximum(1, np.diff(offs)))[:, None]
+        total /= (1e11 * np.maximum(1, high - low))[:, None]
         return np.where(some, rounded(total), -np.inf)
 
 
@@ -84,7 +131,7 @@ def _scorer(tables: _Tables, n_ids: int, lengths: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = grams.buffers(batch.column(n_ids))
-            for a, b in grams.pieces(offs, 1 << 20, tables.rows()):
+            for a, b in grams.pieces(offs, PIECE, tables.rows()):
                 got = tables.sums(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 if not got:
                     continue

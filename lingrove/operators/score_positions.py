@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .score import MAX_MODEL_ROWS
+from .score import MAX_MODEL_ROWS, PIECE
+from .trie import Trie
 
 
 def covered(strings: DataFrame, model: DataFrame) -> DataFrame:
@@ -35,27 +36,30 @@ def covered(strings: DataFrame, model: DataFrame) -> DataFrame:
 def _covered(strings: DataFrame, model: DataFrame) -> DataFrame:
     rows = model.select("lang", "len", "key", "cnt").toPandas()
     tables = {}
-    for (lang, n), t in rows.groupby(["lang", "len"]):
-        t = t.sort_values("key")
-        tables.setdefault(lang, []).append((int(n), t["key"].to_numpy(np.int64), t["cnt"].to_numpy(np.int64)))
+    for lang, t in rows.sort_values("key").groupby("lang"):
+        at = {int(n): (x["key"].to_numpy(np.int64), x["cnt"].to_numpy(np.int64)) for n, x in t.groupby("len")}
+        tables[lang] = Trie({n: k for n, (k, _) in at.items()}), {n: c for n, (_, c) in at.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, rows_of in grams.by_group(batch.column(0)):
                 data, offs = grams.buffers(batch.column(1).filter(rows_of))
                 sums = np.zeros(5, np.int64)
-                for a, b in grams.pieces(offs, 1 << 20):
+                trie, counts = tables.get(lang, (None, None))
+                for a, b in grams.pieces(offs, PIECE):
                     part, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
                     depth = np.zeros(len(part) + 1, np.int64)
-                    for n, table, cnt in tables.get(lang, []):
-                        key, start = grams.keys(part, o, n)
-                        if not len(key):
+                    for n, start, node in trie.walk(part) if trie else ():
+                        if n not in counts:
                             continue
-                        at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-                        hit = table[at] == key
+                        at = trie.place[n][node]
+                        low = np.searchsorted(start, o[:-1])
+                        m = np.maximum(low, np.searchsorted(start, o[1:] - n, "right")) - low
+                        hit = np.arange(int(m.sum())) + np.repeat(low - (np.cumsum(m) - m), m)
+                        hit = hit[at[hit] >= 0]
                         s = start[hit]
                         depth += np.bincount(s, minlength=len(depth)) - np.bincount(s + n, minlength=len(depth))
-                        sums[2:] += (n * len(s), len(s), n * int(cnt[at[hit]].sum()))
+                        sums[2:] += (n * len(s), len(s), n * int(counts[n][at[hit]].sum()))
                     sums[:2] += (len(part), int((np.cumsum(depth[:-1]) > 0).sum()))
                 yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *(pa.array([int(x)]) for x in sums)], names=["lang", "total", "covered", "matched", "matches", "freq"])
 

@@ -50,8 +50,17 @@ def survives(min_length: int, ratio: float) -> Column:
     return ok & (F.col("cnt") > 0)
 
 
-def pruned(ngrams: DataFrame, low: int, high: int, min_length: int, k: int, ratio: float, alignment: int = 1) -> DataFrame:
-    """One pass's selection: drop implied n-grams, then keep those that reach the k-th largest count (all, when there are fewer than k)."""
-    kept = with_max_child(without_suffixes(ngrams, low, high, ratio, alignment)).where(F.col("len") >= min(min_length, high)).where(survives(min_length, ratio))
+def unimplied(ngrams: DataFrame, low: int, high: int, min_length: int, ratio: float, alignment: int = 1) -> DataFrame:
+    """One pass's n-grams without those that a longer one implies."""
+    return with_max_child(without_suffixes(ngrams, low, high, ratio, alignment)).where(F.col("len") >= min(min_length, high)).where(survives(min_length, ratio)).select("grp", "len", "key", "cnt")
+
+
+def most(kept: DataFrame, k: int) -> DataFrame:
+    """The n-grams that reach the k-th largest count (all, when there are fewer than k)."""
     thr = thresholds(kept, "grp", k).select(F.col("grp").alias("_by"), F.when(F.col("n") < k, F.lit(1)).otherwise(F.greatest(F.lit(2), F.col("thr"))).alias("thr"))
     return kept.join(thr, F.col("grp").eqNullSafe(F.col("_by"))).where("cnt >= thr").select("grp", "len", "key", "cnt")
+
+
+def pruned(ngrams: DataFrame, low: int, high: int, min_length: int, k: int, ratio: float, alignment: int = 1) -> DataFrame:
+    """One pass's selection: drop implied n-grams, then keep those that reach the k-th largest count (all, when there are fewer than k)."""
+    return most(unimplied(ngrams, low, high, min_length, ratio, alignment), k)

@@ -4,6 +4,9 @@ Trigrams are counted and the most frequent kept; passes of growing length count
 one implies, and keep the most frequent; bigrams are merged in; counts are smoothed and quantised. The kept n-grams of all groups are k per
 group, so between passes the prefixes are sent to the counting tasks while they are few (``MAX_PREFIXES``); beyond
 that the counts are joined with them.
+
+A pass counts one length after the other. An n-gram occurs no more often than what it begins with, so only those go on that are frequent enough to be kept,
+or to drop one that is: see ``_selected``.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import uuid
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Language, TrainOptions
@@ -22,6 +25,7 @@ from ..operators import grams, models, sample, select
 from ..sources import files, freqlist, store
 
 MAX_PREFIXES = 4_000_000
+START = 2  # the first bound of a pass is the k-th largest count over this
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -64,27 +68,83 @@ def _extended(texts: DataFrame, model: DataFrame, low: int, high: int, o: TrainO
     """Counts of the n-grams of low..high bytes that begin with a kept n-gram of low-1 bytes."""
     heads = model.where(F.col("len") == low - 1).select("grp", "key")
     if heads.count() <= MAX_PREFIXES:
-        t = heads.toPandas()
-        allowed = {g: np.sort(k.to_numpy(np.int64)) for g, k in t.groupby("grp", dropna=False)["key"]}
-        out = grams.counts(texts, low, high, o.alignment, allowed, low - 1)
+        out = grams.counts(texts, low, high, o.alignment, _sent(heads), low - 1)
     else:
         heads = heads.select(F.col("grp").alias("_g"), F.col("key").alias("_k"))
         out = grams.counts(texts, low, high, o.alignment)
         out = out.join(heads, F.col("grp").eqNullSafe(F.col("_g")) & (grams.prefix(F.col("key"), F.col("len"), low - 1) == F.col("_k")), "left_semi")
+    return _unbroken(out, low, o)
+
+
+def _sent(heads: DataFrame) -> dict[object, np.ndarray]:
+    """By group the sorted keys of (grp, key)."""
+    return {g if isinstance(g, str) else None: np.sort(k.to_numpy(np.int64)) for g, k in heads.toPandas().groupby("grp", dropna=False)["key"]}
+
+
+def _unbroken(ngrams: DataFrame, low: int, o: TrainOptions) -> DataFrame:
     if o.skip_newlines:
         ends = "0A|0D|00" if o.alignment == 1 else "0A|0D"
-        out = out.where(~grams.hex_key(F.col("key"), F.col("len")).rlike(f"^(..){{{low - 1},}}({ends})"))
+        ngrams = ngrams.where(~grams.hex_key(F.col("key"), F.col("len")).rlike(f"^(..){{{low - 1},}}({ends})"))
+    return ngrams
+
+
+def _longer(texts: DataFrame, heads: DataFrame, n: int, o: TrainOptions) -> DataFrame:
+    """Counts of the n-grams of n bytes that begin with one of the ``heads`` (grp, key), which are sent."""
+    return _unbroken(grams.extensions(texts, _sent(heads), n, o.alignment), n, o)
+
+
+def _of(values: dict[str | None, int]) -> Column:
+    """A row's group's value; null for other groups."""
+    known = [x for g, v in values.items() if g is not None for x in (F.lit(g), F.lit(v).cast("bigint"))]
+    of = F.create_map(*known)[F.col("grp")] if known else F.lit(None).cast("bigint")
+    return F.when(F.col("grp").isNull(), F.lit(values[None])).otherwise(of) if None in values else of
+
+
+def _counted(texts: DataFrame, first: DataFrame, low: int, high: int, o: TrainOptions, least: dict[str | None, int]) -> DataFrame:
+    """The counts of low..high bytes that reach their group's ``least``; first: those of ``low`` bytes."""
+    enough = F.col("cnt") >= _of(least)
+    out = level = first.where(enough)
+    for n in range(low + 1, high + 1):
+        heads = level.where(F.col("len") == n - 1).select("grp", "key")
+        if heads.count() > MAX_PREFIXES:
+            return out.unionByName(_extended(texts, level, n, high, o).where(enough))
+        level = kept(_longer(texts, heads, n, o).where(enough))
+        out = out.unionByName(level)
     return out
 
 
+def _selected(texts: DataFrame, model: DataFrame, low: int, high: int, o: TrainOptions) -> DataFrame:
+    """One pass: ``select.pruned`` of the model with the counts of low..high bytes, without counting what can't matter.
+
+    With a bound t on the k-th largest count that is left, what is kept has counts of t at least. It is dropped by longer ones of ratio * t at least, and these
+    by others of ratio^2 * t: nothing rarer is counted. The bound is half the k-th largest count of the model and ``low`` bytes; where fewer than k n-grams reach it in the
+    end it wasn't one, and those groups are counted again with an eighth of it, down to 1, which is all there is.
+    """
+    k, ratio = o.pass_k(low), min(1.0, o.affix_ratio)
+    heads = model.where(F.col("len") == low - 1).select("grp", "key")
+    first = kept(_longer(texts, heads, low, o) if heads.count() <= MAX_PREFIXES else _extended(texts, model, low, low, o))
+    bound = {r.grp: max(1, int(r.thr / START)) for r in select.thresholds(model.unionByName(first), "grp", k).collect()}
+    found = None
+    while bound:
+        mine = _of(bound).isNotNull()
+        every = _counted(texts if found is None else texts.where(mine), first, low, high, o, {g: int(t * ratio * ratio) for g, t in bound.items()})
+        left = select.unimplied(model.where(mine).unionByName(every), low, high, o.min_length, o.affix_ratio, o.alignment)
+        left = kept(left.where(F.col("cnt") >= _of(bound)))
+        many = {r.grp: r["count"] for r in left.groupBy("grp").count().collect()}
+        short = {g: t // 8 or 1 for g, t in bound.items() if t > 1 and many.get(g, 0) < k}
+        left = left.where(_of(dict.fromkeys(short, 1)).isNull()) if short else left
+        found = left if found is None else found.unionByName(left)
+        bound = short
+    return select.most(found, k) if found is not None else model.where("false")
+
+
 def select_ngrams(texts: DataFrame, o: TrainOptions = TrainOptions()) -> tuple[DataFrame, DataFrame]:
     """(n-grams (grp, len, key, cnt) without bigrams, bigrams)."""
     tri = kept(grams.counts(texts, 3, 3, o.alignment))
     model = kept(select.top_trigrams(filtered(tri, o), o.pass_k(3)))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0] if o.max_length > 3 else 0
     for low, high in o.passes(size) if o.max_length > 3 else []:
-        longer = model.unionByName(_extended(texts, model, low, high, o))
-        new = kept(select.pruned(longer, low, high, o.min_length, o.pass_k(low), o.affix_ratio, o.alignment))
+        new = kept(_selected(texts, model, low, high, o))
         if new.isEmpty():
             break
         model = new
