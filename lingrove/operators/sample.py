@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .grams import utf8
 
+RANGE = 4096  # lines whose lengths are one row of the greedy choice
+
 
 def every(n: int) -> Column:
     """Lines 0, n, 2n, ..."""
@@ -62,22 +64,33 @@ def first_bytes(lines: DataFrame, limit: int, order: str = "line_no") -> DataFra
 def greedy_bytes(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
     """(order, selected): takes a line whenever the bytes taken so far are no more than rate * bytes seen so far, rate = (n + 1) / all bytes; about n bytes in all.
 
-    Each choice depends on all before it, so the lengths (not the texts) pass through one task in order.
+    lines: (order, line), or (order, size) with the lines' bytes. Each choice depends on all before it, so the lengths (not the texts) pass through one task in order,
+    ``RANGE`` of them as one row of 4 bytes each; numbers and choices are put together again in all tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = seen = 0
         for batch in batches:
-            picks = []
-            for size, total in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                take = total > 0 and got <= seen * ((n + 1.0) / total)
-                picks.append(take)
-                got, seen = got + size * take, seen + size
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picks, pa.bool_())], names=[order, "selected"])
-
-    sized = lines.select(F.col(order).cast("bigint").alias(order), F.octet_length("line").cast("bigint").alias("size"))
+            totals, picks = batch.column(2).to_pylist(), []
+            for sizes, total in zip(batch.column(1), totals, strict=True):
+                rate, flags = (n + 1.0) / total if total > 0 else 0.0, bytearray(len(sizes))
+                for i, size in enumerate(sizes.values.to_pylist()):
+                    if total > 0 and got <= seen * rate:
+                        flags[i] = 1
+                        got += size
+                    seen += size
+                picks.append(bytes(flags))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picks, pa.binary())], names=["_r", "picks"])
+
+    size = F.col("size") if "size" in lines.columns else F.octet_length("line")
+    sized = lines.select(F.col(order).cast("bigint").alias(order), size.cast("int").alias("size"))
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    return sized.crossJoin(F.broadcast(total)).coalesce(1).sortWithinPartitions(order).mapInArrow(run, f"{order} bigint, selected boolean")
+    r = F.floor(F.col(order) / RANGE).cast("bigint")
+    rows = sized.groupBy(r.alias("_r")).agg(F.array_sort(F.collect_list(F.struct(order, "size"))).alias("_l"))
+    # the numbers of a range come out in their order, so each side puts them there; the texts' task sees the sizes alone
+    folded = rows.select("_r", F.col("_l.size").alias("sizes")).crossJoin(F.broadcast(total)).repartition(1).sortWithinPartitions("_r").mapInArrow(run, "_r bigint, picks binary")
+    both = rows.select(F.col("_r"), F.col(f"_l.{order}").alias("_at")).join(folded, "_r")
+    return both.select(F.posexplode("_at").alias("_i", order), "picks").select(order, (F.substring("picks", F.col("_i") + 1, F.lit(1)) == F.lit(b"\x01")).alias("selected"))
 
 
 def random_lines(lines: DataFrame, n: int, seed: int = 0) -> DataFrame:
