@@ -7,6 +7,7 @@ tasks. ``exploded`` is the same as rows inside the JVM, for lengths beyond 8 byt
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -20,6 +21,14 @@ from .trie import MAX_CELLS, Trie, within_rows
 CHUNK = 1 << 20
 
 
+def give_back() -> None:
+    """Gives freed memory back to the system, where it can: a worker waits for its next task with what it keeps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(col: Column) -> Column:
     return F.encode(col, "UTF-8")
 
@@ -134,7 +143,10 @@ def _counter(low: int, high: int, alignment: int, allowed: Mapping[object, np.nd
                         if rows > 1_000_000:
                             yield from flush()
                             held, rows = {}, 0
+            give_back()
         yield from flush()
+        held = {}
+        give_back()
 
     return run
 
@@ -228,9 +240,14 @@ def extensions(texts: DataFrame, heads: Mapping[object, np.ndarray], size: int,
                     for n, start, node in trie.walk(part, ok):
                         if n == size - 1:
                             held[group].add(node, part[start + n])
-        for group, h in held.items():
+            give_back()
+        while held:
+            group, h = held.popitem()
             at, count = h.found()
             yield from _rows(group, size, (tries[group].nodes[size - 1][at >> 8] << 8) | (at & 255), count)
+            del h, at, count
+        tries.clear()
+        give_back()
 
     return texts.mapInArrow(run, "grp string, len int, key bigint, cnt bigint").groupBy("grp", "len", "key").agg(F.sum("cnt").alias("cnt"))
 
